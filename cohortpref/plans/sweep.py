@@ -19,7 +19,10 @@ SWEEP_HEADER = ("KMEAN", "WSSSE TRAIN", " WSSSE TEST")
 def kmeans_sweep(
     train: DataFrame, test: DataFrame, ks: Sequence[int] = SWEEP_K, seed: int = 1, features: str = "pca_features"
 ) -> DataFrame:
-    """Table (k, wssse_train, wssse_test). The vectors are read once and kept for all fits."""
+    """Table (k, wssse_train, wssse_test). The vectors are read once and kept for all fits.
+
+    Both costs are measured against the final centres. The fit's own training cost is that of its last iteration
+    and differs when the fit stops at its iteration limit."""
     spark = train.sparkSession
     train = train.select(features).persist(StorageLevel.MEMORY_AND_DISK)
     test = test.select(features).persist(StorageLevel.MEMORY_AND_DISK)
@@ -27,8 +30,8 @@ def kmeans_sweep(
         rows = []
         for k in ks:
             model = fit_kmeans(train, k, seed, features)
-            cost = model.summary.trainingCost
-            rows.append((k, float(cost), float(model_wssse(spark, model, model.transform(test)))))
+            costs = [float(model_wssse(spark, model, model.transform(part))) for part in (train, test)]
+            rows.append((k, *costs))
     finally:
         train.unpersist()
         test.unpersist()
