@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortpref.operators.joins import ROW_BYTES, TableSize, slice_sizes
+from cohortpref.operators.joins import ROW_BYTES, TableSize, lookup_join, slice_sizes
 from cohortpref.session import snapshot, work_path
 
 
@@ -29,28 +29,36 @@ def choice_frequency(rows: DataFrame, cluster: str, choices: Sequence[str]) -> D
 
 
 def frequency_steps(frequency: DataFrame) -> DataFrame:
-    """Table (cluster, ycol, occur, pos): the distinct counts of a ranking with their dense rank.
+    """Table (cluster, ycol, occur, values, pos): the distinct counts of a ranking, the number of values that have
+    them, and their dense rank.
 
     The rank of a value depends on its count only. A ranking over N rows has at most sqrt(2N) distinct counts,
     so this window stays small even where one cluster has very many values.
     """
-    steps = frequency.select("cluster", "ycol", "occur").distinct()
+    steps = frequency.groupBy("cluster", "ycol", "occur").agg(F.count(F.lit(1)).alias("values"))
     by_count = Window.partitionBy("cluster", "ycol").orderBy(F.desc("occur"))
     return steps.withColumn("pos", F.row_number().over(by_count).cast("int"))
 
 
-def rank_choices(frequency: DataFrame, top: int | None = None) -> DataFrame:
+def rank_choices(frequency: DataFrame, top: int | None = None, limit: int | None = None) -> DataFrame:
     """`frequency` with `pos`: dense rank of the value by falling frequency; equal counts share a position.
     With `top`, only positions 1..top.
 
     The counts are written first, because they are read twice (for the steps and for the values) and Spark would
-    otherwise scan the rows under them twice.
+    otherwise scan the rows under them twice. Many values of a cluster may share a count, the rare ones above all;
+    the lookup takes care of such frequent keys.
     """
     frequency = snapshot(frequency, "frequency")
-    steps = frequency_steps(frequency)
-    if top is not None:
+    steps = snapshot(frequency_steps(frequency), "steps")
+    size = steps.agg(F.count(F.lit(1)).alias("steps"), F.coalesce(F.sum("values"), F.lit(0)).alias("values")).first()
+    size = TableSize(size["steps"] * ROW_BYTES, size["values"])
+    keys = [(c, c) for c in ("cluster", "ycol", "occur")]
+    if top is None:
+        ranking = lookup_join(frequency, steps, keys, size, "values", limit)
+    else:
         steps = steps.where(F.col("pos") <= top)
-    return frequency.join(steps, ["cluster", "ycol", "occur"]).select("cluster", "ycol", "val", "occur", "pos")
+        ranking = lookup_join(frequency, steps, keys, size, "values", limit).where("pos IS NOT NULL")
+    return ranking.select("cluster", "ycol", "val", "occur", "pos")
 
 
 def ranking_totals(frequency: DataFrame, clusters: int, choices: Sequence[str]) -> DataFrame:
@@ -97,6 +105,10 @@ class Preferences:
     def last_positions_size(self) -> TableSize:
         return TableSize(self.clusters * ROW_BYTES, max((s.total for s in self.sizes.values()), default=0))
 
+    @property
+    def totals_size(self) -> TableSize:
+        return TableSize(self.clusters * len(self.choices) * ROW_BYTES, sum(s.total for s in self.sizes.values()))
+
 
 def fit_preferences(
     train: DataFrame, cluster: str, choices: Sequence[str], clusters: int, path: str | None = None

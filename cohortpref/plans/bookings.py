@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortpref.functions.scalar import split_bucket
 from cohortpref.operators.split import in_train
+from cohortpref.session import spread
 
 # Cluster ids of the stand-in clustering; the nation keys fill only some of them.
 CLUSTERS = 30
@@ -22,7 +23,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     joined = (
-        table("lineitem")
+        spread(table("lineitem"))
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -50,3 +50,10 @@ def snapshot(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Da
     path = work_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores when its scan has fewer partitions than there are cores (one small file, say); a scan of
+    a large table has more and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -31,8 +31,11 @@ def both(spark):
     return spark.createDataFrame(rows, "k int, y string, train boolean")
 
 
-def test_ties_share_a_position(spark):
-    ranking = rank_choices(choice_frequency(spark.createDataFrame(TRAIN, "k int, y string"), "k", ["y"]))
+@pytest.mark.parametrize("limit", [None, -1])
+def test_ties_share_a_position(spark, limit):
+    frequency = choice_frequency(spark.createDataFrame(TRAIN, "k int, y string"), "k", ["y"])
+    ranking = rank_choices(frequency, limit=limit)
+    assert sorted((r.val, r.pos) for r in rank_choices(frequency, 1, limit).collect()) == [("a", 1), ("a", 1), ("b", 1)]
     assert sorted((r.cluster, r.val, r.occur, r.pos) for r in ranking.collect()) == [
         (0, "a", 5, 1), (0, "b", 5, 1), (0, "c", 3, 2), (1, "a", 2, 1),
     ]
@@ -67,12 +70,12 @@ def test_shuffled_lookup_with_no_hot_keys_gives_the_same(spark, prefs, monkeypat
         assert sorted(map(str, accuracy_wide(test, prefs, "k", -1).collect())) == expected
 
 
-@pytest.mark.parametrize("way", ["steps", "counts"])
+@pytest.mark.parametrize("way", ["steps", "counts", "shuffled counts"])
 def test_reports(spark, prefs, way):
     if way == "steps":
         scored = scored_steps(both(spark), "k", ["y"], F.col("train"), ~F.col("train"))
     else:
-        scored = scored_counts_of(spark.createDataFrame(TEST, "k int, y string"), "k", prefs)
+        scored = scored_counts_of(spark.createDataFrame(TEST, "k int, y string"), "k", prefs, -1 if way != "counts" else None)
     acc = accuracy_by_choice(scored).first()
     assert (acc.n, acc.n_unranked, acc.max_acc, acc.min_acc) == (7, 3, 1.0, 0.0)
     assert acc.mean_acc == pytest.approx(3.5 / 7)
