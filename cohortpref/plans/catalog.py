@@ -422,6 +422,15 @@ def kmeans_fit_assign(spark, sf_dir):
     return fit_kmeans(features, 10).transform(features).select("vec_id", "prediction")
 
 
+@query
+def pca_full_norms(spark, sf_dir):
+    """Squared length of every vector in the space of all components; a PCA that keeps them all only rotates."""
+    features = vectors(spark, sf_dir).select("vec_id", array_to_vector("v").alias("features"))
+    projected = vector_to_array(F.col("pca_features"))
+    norm = F.aggregate(projected, F.lit(0.0), lambda total, x: total + x * x)
+    return fit_pca(features, 64).transform(features).select("vec_id", F.round(norm, 6).alias("norm2"))
+
+
 @query
 def kmeans_sweep_query(spark, sf_dir):
     features = vectors(spark, sf_dir).select("vec_id", array_to_vector("v").alias("pca_features"))
@@ -494,4 +503,31 @@ def staged_run(spark, sf_dir):
     return rounded(state.reports["accuracy_by_choice"], "mean_acc", "max_acc", "min_acc")
 
 
+@query
+def staged_run_totals(spark, sf_dir):
+    """Rows that the rankings of a full run were made from and rows they were tested on, per choice column."""
+    _, state = _run(spark, sf_dir)
+    trained = state.preferences.totals.groupBy("ycol").agg(F.sum("tot_values").alias("n_train"))
+    tested = state.reports["accuracy_by_choice"].select("ycol", F.col("n").alias("n_test"))
+    return trained.join(tested, "ycol")
+
+
+@query
+def scored_request_counts(spark, sf_dir):
+    """Scored and rejected rows per request when a quarter of the rows has an unknown postcode."""
+    settings, _ = _run(spark, sf_dir, stop="DICT")
+    rows = snapshot(bookings(spark, sf_dir).where(is_test()), "requests")
+    postcode = F.when(F.col("SPLIT_BUCKET") % 4 == 0, "nowhere").otherwise(F.col("STRING_X_CAP"))
+    requests = rows.withColumn("STRING_X_CAP", postcode).select(
+        F.col("CLUSTER").alias("request_id"), F.col(ID).alias("row_id"), *ROLES.columns
+    )
+    scored, rejected = score_requests(requests, load_model(spark, settings))
+    both = scored.select("request_id", F.lit(1).alias("scored")).unionByName(
+        rejected.select("request_id", F.lit(0).alias("scored"))
+    )
+    return both.groupBy("request_id").agg(
+        F.sum("scored").alias("n_scored"), F.sum(1 - F.col("scored")).alias("n_rejected")
+    )
+
+
 QUERIES = {name.removesuffix("_query"): function for name, function in QUERIES.items()}

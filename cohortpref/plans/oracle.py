@@ -216,4 +216,12 @@ SQL: dict[str, str] = {
         SELECT vec_id, request_id, round(d, 6) AS centerdistance, round(acc, 6) AS acc,
           round(acc * (total - d) / nullif(total, 0), 6) AS acc_norm, round(request_wssse, 6) AS request_wssse
         FROM scored JOIN batch USING (request_id)""",
+    "pca_full_norms": f"WITH {_VECTORS} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM points",
+    "staged_run_totals": f"""WITH {RAW}, counts AS (
+          SELECT CAST(count(*) FILTER (SPLIT_BUCKET < 9000) AS BIGINT) AS n_train,
+            CAST(count(*) FILTER (SPLIT_BUCKET >= 9000) AS BIGINT) AS n_test FROM raw
+        ) SELECT unnest({list(ROLES.y)}) AS ycol, n_train, n_test FROM counts""",
+    "scored_request_counts": f"""WITH {RAW} SELECT CLUSTER AS request_id,
+        CAST(count(*) FILTER (SPLIT_BUCKET % 4 <> 0) AS BIGINT) AS n_scored,
+        CAST(count(*) FILTER (SPLIT_BUCKET % 4 = 0) AS BIGINT) AS n_rejected FROM raw WHERE {TEST} GROUP BY CLUSTER""",
 }

@@ -7,7 +7,7 @@ from cohortpref.functions.vectors import nearest_rows
 from cohortpref.operators.cluster import assign_nearest, fit_kmeans, fit_pca, model_centers, model_wssse, pca_components
 from cohortpref.operators.scoring import load_model, normalize_by_request, response_rows, score_requests
 from cohortpref.plans.bookings import bookings
-from cohortpref.plans.stages import run
+from cohortpref.plans.stages import run, sweep_run
 from cohortpref.plans.sweep import kmeans_sweep, write_sweep
 from cohortpref.config import ColumnRoles, RunSettings
 from cohortpref.session import snapshot, work_path
@@ -104,6 +104,14 @@ def test_resumed_stages_equal_the_full_run(spark, full_run):
     assert spark.read.parquet(settings.paths.indexed).count() == 6000
 
 
+def test_sweep_over_the_snapshots(spark, full_run):
+    settings, full = full_run
+    sweep = sweep_run(spark, settings, (3, settings.k)).orderBy("k").collect()
+    assert [r.k for r in sweep] == [3, 12]
+    assert sweep[1].wssse_test == pytest.approx(full.info["wssse_test"])
+    assert spark.read.csv(settings.paths.sweep, header=True).count() == 2
+
+
 def test_unknown_or_reversed_stages_are_refused(spark, full_run):
     settings, _ = full_run
     with pytest.raises(ValueError, match="unknown stage"):
