@@ -44,7 +44,8 @@ def check_requests(requests: DataFrame, domains: Domains, columns: Sequence[str]
 
     A column offends when its value, as text, is null or outside the domain; columns without a domain are not
     looked at. One lookup per column, so no request row is multiplied. The result is a written table: both the
-    valid and the rejected rows are read from it.
+    valid and the rejected rows are read from it. `requests` should be a scan or a written table: the optimizer takes
+    very long over this many joins on top of a long chain of derived columns.
     """
     checked = [c for c in columns if c in domains.sizes]
     rows = requests

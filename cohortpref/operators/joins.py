@@ -49,8 +49,9 @@ def lookup_join(
 
     A table within `limit` bytes is broadcast and `rows` never move. A larger one is joined by shuffle, where a
     frequent key would fill one task. With `weight` (a column of the table telling how frequent a key is) the at
-    most HOT_KEYS heaviest keys are broadcast first; the rows they resolve take part in the shuffle under
-    placeholder keys spread over SPREAD values, so they land evenly. A numeric first key must not be negative.
+    most HOT_KEYS heaviest keys are broadcast first; the rows they resolve, and rows with a null key, take part in
+    the shuffle under placeholder keys spread over SPREAD values, so they land evenly. A frequent key that the table
+    does not know is left to the adaptive skew join. A numeric first key must not be negative.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     table_keys = [right for _, right in keys]
@@ -70,9 +71,10 @@ def lookup_join(
     hot = table.where(hot_key).select(*renamed, *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(True).alias("__hot"))
     cold = table.where(~hot_key).select(*renamed, *values)
     half = rows.join(F.broadcast(hot), _equal(left_keys, right_keys), "left").drop(*right_keys)
-    half = half.withColumn(
-        "__first", F.when(F.col("__hot"), _placeholder(rows, keys[0][0])).otherwise(left_keys[0])
-    )
+    done = F.coalesce(F.col("__hot"), F.lit(False))
+    for key in left_keys:
+        done = done | key.isNull()
+    half = half.withColumn("__first", F.when(done, _placeholder(rows, keys[0][0])).otherwise(left_keys[0]))
     joined = half.join(cold, _equal([F.col("__first"), *left_keys[1:]], right_keys), "left")
     return joined.select(
         *rows.columns, *[F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
