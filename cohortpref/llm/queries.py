@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpref.llm import lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity
+from cohortpref.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity
 from cohortpref.llm.common import crc_remainder
 from cohortpref.session import snapshot
 
@@ -34,6 +34,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     stats = snapshot(quality_rules.statistics(documents(spark, sf_dir)), "quality-statistics")
