@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpref.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity
+from cohortpref.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
 from cohortpref.llm.common import crc_remainder
-from cohortpref.session import snapshot
+from cohortpref.session import snapshot, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +67,30 @@ def op5_lm_scoring(spark, sf_dir):
     )
 
 
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+@query
+def op6_url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    judged = url_filters.judge_pages(pages, url_filters.rule_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    path = work_path(spark, "flat-tokens")
+    token_counts.write_flat(docs, tokenizer_path(), path)
+    counted = token_counts.document_tokens(token_counts.scan_blocks(spark, path))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    counted = counted.select(part.alias("p"), F.col("index").alias("i"), "n_tokens")
+    places = token_counts.place_of(docs)
+    return places.join(counted, (F.col("part") == F.col("p")) & (F.col("index") == F.col("i"))).select("doc_id", "n_tokens", "part", "index")
+
+
 @query
 def op8_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
