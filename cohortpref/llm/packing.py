@@ -24,6 +24,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -40,46 +41,96 @@ SEGMENT = 400_000
 SENTENCE_PENALTY = 2.0
 MIDDLE_PENALTY = 64.0
 PARTITION_BYTES = 24 << 20
-CACHE = 300_000
-SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
-# The white space at which the tokenizer never joins words (Unicode's White_Space); Python's str.split() cuts at
-# these and at U+001C..U+001F, so texts with one of the four are cut by the pattern.
-SPACE_RUN = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+CACHE = 600_000
+CHUNK_BYTES = 8 << 20  # of text encoded at a time
+APOSTROPHE_OR_DIGIT = re.compile(r"['0-9]")
+# Texts of Latin-1 characters, without the few that count as numbers or odd white space, are cut by vectorised string
+# functions: composing changes nothing in them, their lower case is the same everywhere, and their white space is ASCII's.
+ODD = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{a9}\x{ab}-\x{b1}\x{b4}-\x{b8}\x{bb}\x{bf}-\x{ff}]|<\|(?:startoftext|endoftext)\|>"
+LETTERS = r"([a-z\x{b5}\x{df}-\x{f6}\x{f8}-\x{ff}]+)"
+# Words with digits or apostrophes are left to the tokenizer as a whole.
+UNEVEN = r"['0-9]"
 SENTENCE_MARKS = (".", "!", "?")
 
 
+def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered `which` of `flat` (run i has sizes[i] entries), one after the other, and their sizes."""
+    starts = np.cumsum(sizes) - sizes
+    taken = sizes[which]
+    at = np.repeat(starts[which] - (np.cumsum(taken) - taken), taken)
+    return flat[at + np.arange(len(at))], taken
+
+
 class WordTokens:
-    """ids of whole texts by a tokenizer that never joins across white space: every distinct word is encoded once and
-    kept (bounded). Texts that name a special token are encoded whole."""
+    """ids of whole texts by a tokenizer that never joins across white space nor between letters and marks: every
+    distinct piece is encoded once and kept (bounded). Texts outside Latin-1 and texts that name a special token are encoded
+    whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The merges alone, for printable ASCII, which the steps before them leave as it is.
+        self.merges = Tokenizer(self.tokenizer.model)
         self.kept: dict[str, bytes] = {}
         ends = [self.tokenizer.token_to_id(m + "</w>") for m in SENTENCE_MARKS]
         self.sentence_ids = np.array([i for i in ends if i is not None], np.uint32)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """ids (unsigned 32 bit, without an end token) of every text."""
-        cut = [SPACE_RUN.findall(t) if ODD_SPACE.search(t) else t.split() for t in (x or "" for x in texts)]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        ids, sizes = self._latin(texts.filter(pa.array(~odd)))
+        runs = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        whole = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False))
+        return [np.array(next(whole).ids, "<u4") if o else next(runs) for o in odd]
+
+    def _latin(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        uneven = pc.match_substring_regex(words, UNEVEN).to_numpy(zero_copy_only=False)
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(words.filter(pa.array(~uneven)), LETTERS, r" \1 "))
+        # Unique words in the order: even ones, then uneven ones.
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([np.flatnonzero(~uneven), np.flatnonzero(uneven)])] = np.arange(len(words))
+        per_word = np.concatenate([np.diff(cut.offsets.to_numpy()), np.ones(int(uneven.sum()), np.int64)]).astype(np.int64)
+        pieces_coded = pa.concat_arrays([cut.flatten(), words.filter(pa.array(uneven))]).dictionary_encode()
+        found = self._ids(pieces_coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, sizes = gather(flat, sizes, pieces_coded.indices.to_numpy())  # of the unique words, piece by piece
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        borders = ends[np.concatenate([[0], np.cumsum(per_word)])]
+        flat, sizes = gather(flat, np.diff(borders), place[at])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return flat, np.diff(ends[lists.offsets.to_numpy()])
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         if len(self.kept) > CACHE:
             self.kept.clear()
-        missing = [w for w in set().union(*cut) if w not in self.kept]
-        for start in range(0, len(missing), 5000):
-            words = missing[start : start + 5000]
-            for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.kept[word] = np.array(code.ids, "<u4").tobytes()
-        found = self.kept.__getitem__
-        out = []
-        for text, words in zip(texts, cut):
-            if text and "<|" in text and SPECIAL.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(found, words)), "<u4"))
-        return out
+        new = [p for p in pieces if p not in self.kept]
+        # An uneven word is more than one piece; all others are one.
+        plain = [p.isascii() and p.isprintable() and not APOSTROPHE_OR_DIGIT.search(p) for p in new]
+        for tokenizer, wanted in ((self.merges, True), (self.tokenizer, False)):
+            chosen = [p for p, is_plain in zip(new, plain) if is_plain == wanted]
+            for start in range(0, len(chosen), 5000):
+                batch = chosen[start : start + 5000]
+                for piece, code in zip(batch, tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+                    ids = code.ids
+                    self.kept[piece] = pack_ids(f"<{len(ids)}I", *ids)
+        return [self.kept[p] for p in pieces]
+
+
+_tokenizers: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The worker's own tokenizer with what it has kept from earlier tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokens(path)
+    return _tokenizers[path]
 
 
 def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +153,8 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_ids: np.ndarray, leng
 def best_cuts(places: list[int], penalty: list[float], length: int) -> list[int]:
     """Ends of the windows of least total cost."""
     powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    # Windows that are short for no need only pay at the end of a segment.
+    long_powers, end_part = [p for p in powers if 8 * p >= length], (places[-1] if places else 0) - 2 * length
     points = [0, *places]
     index = {p: i for i, p in enumerate(points)}
     best = [0.0] * len(points)
@@ -115,7 +168,7 @@ def best_cuts(places: list[int], penalty: list[float], length: int) -> list[int]
         i = queue[0]
         cost, source = keys[i] + length - p, i
         if cost > best[i]:  # there is padding to save
-            for power in powers:
+            for power in powers if p > end_part else long_powers:
                 i = index.get(p - power)
                 if i is not None and best[i] < cost:
                     cost, source = best[i], i
@@ -186,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     schema = SCHEMA.format(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         packer = Packer(tokens, length, TaskContext.get().partitionId() << 40)
         tail = np.array([end], "<u4")
 
@@ -202,9 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
             run_chars, first = 0, 0
             for at, size in enumerate(sizes):
                 run_chars += size
-                if run_chars < 500_000 and at + 1 < len(ids):
+                if run_chars < CHUNK_BYTES and at + 1 < len(ids):
                     continue
-                for doc_id, code in zip(ids[first : at + 1], tokens.encode(texts[first : at + 1].to_pylist())):
+                for doc_id, code in zip(ids[first : at + 1], tokens.encode(texts[first : at + 1])):
                     packer.add(doc_id, np.concatenate([code, tail]))
                     if packer.size >= segment:
                         yield batch_of(packer.flush(), id_type)

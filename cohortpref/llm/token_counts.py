@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortpref.llm.packing import WordTokens
+from cohortpref.llm.packing import word_tokens
 
 # U+0080 in UTF-8 is C2 80: big-endian 0xC280 = 49792, above the vocabulary's 49,408 ids.
 SEPARATOR = 0xC280
@@ -31,10 +31,10 @@ def write_flat(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Writes the ids of every text, in the order of the rows, to flat files in `path`, one per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                texts = batch.column("text")[start : start + 256].to_pylist()
+            for start in range(0, batch.num_rows, 2000):
+                texts = batch.column("text")[start : start + 2000]
                 blobs = [ids.astype(">u2").tobytes() for ids in tokens.encode(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["ids"])
 
