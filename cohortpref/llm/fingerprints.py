@@ -20,12 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortpref.llm.common import pieces, word_array
+from cohortpref.llm.common import pieces, text_bytes, word_array
 from cohortpref.session import snapshot
 
 SAMPLES = 32
 SEED = 77
 RANGE_IDS = 200_000
+PARTITION_BYTES = 5 << 20
 
 
 def _uniform(h: str, low: int, places: int) -> str:
@@ -51,41 +52,29 @@ def _weighted_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     hashed = rows.select(*keys, F.sort_array(F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w))).alias("terms"))
     # Where the runs of equal hashes begin, and the end of the last one.
     places = F.sequence(F.lit(0), F.size("terms"))
-    begins = F.filter(places, lambda i: (i == 0) | (i == F.size("terms")) | (F.col("terms")[i] != F.col("terms")[i - 1]))
+    begins = F.filter(places, lambda i: (i == 0) | (i == F.size("terms")) | (F.get("terms", i) != F.get("terms", i - 1)))
     some = F.size("terms") > 0
     runs = hashed.withColumn("begins", F.when(some, begins))
     runs = runs.select(*keys, "terms", "begins", F.explode_outer(F.when(some, F.sequence(F.lit(0), F.size("begins") - 2))).alias("run"))
-    start = F.col("begins")[F.col("run")]
-    return runs.select(*keys, F.col("terms")[start].alias("term"), (F.col("begins")[F.col("run") + 1] - start).alias("weight"))
-
-
-def draw(rows: DataFrame, keys: list[str], number: str, versions: int, text: str) -> DataFrame:
-    """`keys` and fingerprint_0 .. of the versions of a text (rows with equal keys; `number` tells the versions apart).
-    A term that has the same weight in several versions is drawn for once. The keys must tell documents apart; where
-    `rows` is dealt by one of them nothing is shuffled."""
-    terms = _weighted_terms(rows, [*keys, number], text)
-    shared = terms.groupBy(*keys, "term", "weight").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col(number))).alias("versions"))
-    measured = shared.select(
-        *keys, "term", "versions", F.log(F.col("weight").cast("double")).alias("log_weight"),
-        (F.xxhash64("term", F.lit(SEED)).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("beta"),
-    )
+    start = F.get("begins", F.col("run"))
+    return runs.select(*keys, F.get("terms", start).alias("term"), (F.get("begins", F.col("run") + 1) - start).alias("weight"))
+
+
+def draw(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """`keys` and `fingerprint` of every row. The keys must tell rows apart; where `rows` is dealt by one of them nothing
+    is shuffled, and a task holds one set of least values per row."""
+    terms = _weighted_terms(rows, keys, text)
     # The hashes are columns of their own, so that each is computed once and the expressions stay small; all columns
     # together stay below the number up to which Spark generates code for a whole stage (100).
     numbers = range(SAMPLES)
-    measured = measured.select("*", *[F.xxhash64("term", F.lit(SEED + 1 + j)).alias(f"h{j}") for j in numbers]).drop("term")
-    least = measured.groupBy(*keys, "versions").agg(*[F.min(_sample(j)).alias(f"m{j}") for j in numbers])
-    # At most 2**versions rows per key from here on.
-    arrays = least.select(*keys, "versions", F.array(*[f"m{j}" for j in range(SAMPLES)]).alias("m"))
-    sets = arrays.groupBy(*keys).agg(F.collect_list(F.struct("versions", "m")).alias("parts"))
-
-    def fingerprint(version: int) -> Column:
-        mine = F.filter("parts", lambda p: F.shiftright(p["versions"], version).bitwiseAND(F.lit(1)) == 1)
-        lowest = F.aggregate(
-            mine, F.array_repeat(F.lit(float("inf")), SAMPLES), lambda low, p: F.zip_with(low, p["m"], lambda a, b: F.least(a, b))
-        )
-        return F.array_join(F.transform(lowest, lambda x: F.lpad(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFF))), 4, "0")), "")
-
-    return sets.select(*keys, *[fingerprint(v).alias(f"fingerprint_{v}") for v in range(versions)])
+    measured = terms.select(
+        *keys, F.log(F.col("weight").cast("double")).alias("log_weight"),
+        (F.xxhash64("term", F.lit(SEED)).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("beta"),
+        *[F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(SEED + 1 + j))).alias(f"h{j}") for j in numbers],
+    )
+    least = measured.groupBy(*keys).agg(*[F.min(_sample(j)).alias(f"m{j}") for j in numbers])
+    cells = [F.lpad(F.hex(F.xxhash64(F.coalesce(f"m{j}", F.lit(float("inf")))).bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in numbers]
+    return least.select(*keys, F.concat(*cells).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,32 +102,46 @@ def successors(docs: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "quarter", F.coalesce("following", "after").alias("next_id"))
 
 
+def _both_versions(joined: DataFrame) -> DataFrame:
+    """Fingerprints of the text and of the edited text, from doc_id, next_id, text and head."""
+    text = F.coalesce("text", F.lit(""))
+    joined = joined.select("doc_id", "next_id", text.alias("text"), F.coalesce("head", F.lit("")).alias("head"), F.char_length(text).cast("long").alias("n_chars"))
+    cut = F.floor(F.col("n_chars") / 4).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("head", F.lit(1), cut))
+    rows = joined.select("doc_id", "next_id", "n_chars", "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    sha = F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha")
+    rows = rows.select("doc_id", "row", "next_id", "n_chars", sha, F.inline(both))
+    keys = ["doc_id", "row", "next_id", "n_chars", "sha"]
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
+    drawn = draw(rows, [*keys, "kind"], "t")
+    return drawn.groupBy(*keys).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")).drop("row")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row. The edited
     text is the text with its last floor(n_chars / 4) code points replaced by as many (or all) of the next document."""
     docs = docs.select("doc_id", "text")
     order = snapshot(successors(docs), "order")
+    # Small partitions, and rows with an id apart from those without, so that one shuffle of the texts serves both joins.
+    parts = pieces(text_bytes(docs), PARTITION_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
+    known = docs.where(F.col("doc_id").isNotNull()).repartition(parts, "doc_id")
+    lost = docs.where(F.col("doc_id").isNull())
     wanted = order.select(F.col("next_id"), F.col("doc_id").alias("before"), "quarter")
-    heads = docs.join(wanted, F.col("doc_id") == F.col("next_id")).select(
+    heads = known.join(wanted, F.col("doc_id") == F.col("next_id")).select(
         "before", "next_id", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.col("quarter")).alias("head")
     )
     heads = heads.groupBy("before").agg(F.min("head").alias("head"), F.min("next_id").alias("next_id"))
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(heads, F.col("doc_id") == F.col("before"), "left")
-    joined = joined.select("doc_id", "next_id", text.alias("text"), F.coalesce("head", F.lit("")).alias("head"), F.char_length(text).cast("long").alias("n_chars"))
-    cut = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("head", F.lit(1), cut))
-    rows = joined.select("doc_id", "next_id", "n_chars", "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    sha = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
-    rows = rows.select("doc_id", "row", "next_id", "n_chars", sha, F.inline(both))
-    keys = ["doc_id", "row", "next_id", "n_chars", "edited_sha256"]
-    drawn = draw(rows, keys, "kind", 2, "t").drop("row").withColumnsRenamed({"fingerprint_0": "fingerprint", "fingerprint_1": "edited_fingerprint"})
+    joined = known.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "next_id", "text", "head")
+    drawn = _both_versions(joined)
+    if not lost.isEmpty():
+        without = lost.select("doc_id", F.col("doc_id").alias("next_id"), "text", F.lit("").alias("head"))
+        drawn = drawn.unionByName(_both_versions(without.repartition(parts)))
     pairs = snapshot(drawn, "fingerprints")
     following = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n_chars", "fingerprint"))["fingerprint"].alias("next_fingerprint"))
     out = pairs.join(following, F.col("next_id") == F.col("id"), "left")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.when(F.col("next_fingerprint").isNotNull(), likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
     )

@@ -126,7 +126,13 @@ def train(documents: list[np.ndarray], toxic: np.ndarray) -> ToxicityModel:
     share = np.bincount(col, minlength=size) / n
     scale = 1 / np.sqrt(np.maximum(share, MIN_DOCS / n))
     value = scale[col]
-    step = 4.0 / _largest(row, col, value, n, size)
+    # Curvature of the loss, and a bound on that of the penalty: largest row sum times largest column sum of its matrix.
+    curvature = _largest(row, col, value, n, size) / 4
+    if len(plus):
+        other = np.where(minus >= 0, scale[minus], 0.0)
+        columns = np.bincount(plus, weights=scale[plus], minlength=size) + np.bincount(np.maximum(minus, 0), weights=other, minlength=size)
+        curvature += 2 * SWAP_PENALTY / n * float((scale[plus] + other).max() * columns.max())
+    step = 1.0 / curvature
     for _ in range(STEPS):
         margin = np.bincount(row, weights=value * look[col], minlength=n) + look_b
         residual = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - toxic
