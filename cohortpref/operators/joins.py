@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 # A lookup table up to this estimated size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -15,7 +14,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 64
 # A key is hot when its weight times this is at least the total weight: at most so many keys can be.
 HOT_KEYS = 10_000
-# Rows that are resolved before the shuffle are spread over so many placeholder keys.
+# Rows that are resolved before the shuffle are spread over so many salts.
 SPREAD = 4096
 
 
@@ -50,8 +49,9 @@ def lookup_join(
     A table within `limit` bytes is broadcast and `rows` never move. A larger one is joined by shuffle, where a
     frequent key would fill one task. With `weight` (a column of the table telling how frequent a key is) the at
     most HOT_KEYS heaviest keys are broadcast first; the rows they resolve, and rows with a null key, take part in
-    the shuffle under placeholder keys spread over SPREAD values, so they land evenly. A frequent key that the table
-    does not know is left to the adaptive skew join. A numeric first key must not be negative.
+    the shuffle with a salt between 1 and SPREAD beside their key, so they land evenly; live rows and the table have
+    salt 0, so no salted row can match, whatever the type and the value of its key. A frequent key that the table does
+    not know is left to the adaptive skew join.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     table_keys = [right for _, right in keys]
@@ -74,8 +74,10 @@ def lookup_join(
     done = F.coalesce(F.col("__hot"), F.lit(False))
     for key in left_keys:
         done = done | key.isNull()
-    half = half.withColumn("__first", F.when(done, _placeholder(rows, keys[0][0])).otherwise(left_keys[0]))
-    joined = half.join(cold, _equal([F.col("__first"), *left_keys[1:]], right_keys), "left")
+    salt = F.when(done, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    half = half.withColumn("__salt", salt)
+    cold = cold.withColumn("__cold_salt", F.lit(0).cast("long"))
+    joined = half.join(cold, [F.col("__salt") == F.col("__cold_salt"), *_equal(left_keys, right_keys)], "left")
     return joined.select(
         *rows.columns, *[F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
     )
@@ -83,10 +85,3 @@ def lookup_join(
 
 def _equal(left: Sequence[Column], right: Sequence[str]) -> list[Column]:
     return [a == F.col(b) for a, b in zip(left, right)]
-
-
-def _placeholder(rows: DataFrame, column: str) -> Column:
-    """A key that matches nothing, in the type of `column`: a negative number, or text after a NUL."""
-    n = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
-    kind = rows.schema[column].dataType
-    return n.cast(kind) if isinstance(kind, NumericType) else F.concat(F.lit("\0"), n.cast("string"))
