@@ -113,7 +113,8 @@ def _both_versions(joined: DataFrame) -> DataFrame:
     sha = F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha")
     rows = rows.select("doc_id", "row", "next_id", "n_chars", sha, F.inline(both))
     keys = ["doc_id", "row", "next_id", "n_chars", "sha"]
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
+    # As bytes, half as long, in all that is written and shuffled from here on.
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.unhex("fingerprint")))
     drawn = draw(rows, [*keys, "kind"], "t")
     return drawn.groupBy(*keys).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")).drop("row")
 
@@ -140,6 +141,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pairs = snapshot(drawn, "fingerprints")
     following = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n_chars", "fingerprint"))["fingerprint"].alias("next_fingerprint"))
     out = pairs.join(following, F.col("next_id") == F.col("id"), "left")
+    out = out.withColumns({c: F.hex(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
     return out.select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
