@@ -125,14 +125,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     order = snapshot(successors(docs), "order")
     # Small partitions, and rows with an id apart from those without, so that one shuffle of the texts serves both joins.
-    parts = pieces(text_bytes(docs), PARTITION_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
+    # No fewer than Spark's own shuffles have: a join raises smaller numbers to that one, and would deal the texts anew.
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = pieces(text_bytes(docs), PARTITION_BYTES, least)
     known = docs.where(F.col("doc_id").isNotNull()).repartition(parts, "doc_id")
     lost = docs.where(F.col("doc_id").isNull())
-    wanted = order.select(F.col("next_id"), F.col("doc_id").alias("before"), "quarter")
+    # Both partners come in as many partitions as the texts: otherwise each join would deal the texts anew.
+    wanted = order.select(F.col("next_id"), F.col("doc_id").alias("before"), "quarter").repartition(parts, "next_id")
     heads = known.join(wanted, F.col("doc_id") == F.col("next_id")).select(
         "before", "next_id", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.col("quarter")).alias("head")
     )
-    heads = heads.groupBy("before").agg(F.min("head").alias("head"), F.min("next_id").alias("next_id"))
+    heads = heads.repartition(parts, "before").groupBy("before").agg(F.min("head").alias("head"), F.min("next_id").alias("next_id"))
     joined = known.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "next_id", "text", "head")
     drawn = _both_versions(joined)
     if not lost.isEmpty():
