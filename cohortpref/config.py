@@ -155,6 +155,10 @@ class ArtefactPaths:
         "sweep": ".wssse.csv",
     }
 
+    @property
+    def centers(self) -> str:
+        return f"{self.base}-kmeans-centers.parquet"
+
     def __getattr__(self, name: str) -> str:
         try:
             return self.base + self.SUFFIXES[name]

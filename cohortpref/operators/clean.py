@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortpref.config import ColumnRoles
@@ -16,9 +16,9 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna("any", subset=list(columns))
 
 
-def apply_to_columns(df: DataFrame, changes: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """Replace columns by functions of themselves, all in one projection."""
-    return df.withColumns({name: change(F.col(name)) for name, change in changes.items()})
+def incomplete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows that `drop_incomplete` removes."""
+    return df.where(F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True))
 
 
 def quantize(df: DataFrame, roles: ColumnRoles) -> DataFrame:

@@ -315,7 +315,7 @@ def _steps(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    rows = written(spark, sf_dir)
+    rows = snapshot(clean(spark, sf_dir).select(ID, "CLUSTER", "SPLIT_BUCKET", *CHOICES), "bookings")
     prefs = fit_preferences(rows.where(is_train()), "CLUSTER", CHOICES, CLUSTERS)
     return accuracy_wide(rows.where(is_test()), prefs, "CLUSTER").withColumnRenamed("CLUSTER", "cluster")
 
@@ -474,7 +474,7 @@ def _requests(spark, sf_dir):
 @query
 def score_requests_query(spark, sf_dir):
     settings, _ = _run(spark, sf_dir, stop="DICT")
-    scored, _ = score_requests(_requests(spark, sf_dir), load_model(spark, settings))
+    scored, _, _ = score_requests(_requests(spark, sf_dir), load_model(spark, settings))
     return scored
 
 
@@ -521,7 +521,7 @@ def scored_request_counts(spark, sf_dir):
     requests = rows.withColumn("STRING_X_CAP", postcode).select(
         F.col("CLUSTER").alias("request_id"), F.col(ID).alias("row_id"), *ROLES.columns
     )
-    scored, rejected = score_requests(requests, load_model(spark, settings))
+    scored, rejected, _ = score_requests(requests, load_model(spark, settings))
     both = scored.select("request_id", F.lit(1).alias("scored")).unionByName(
         rejected.select("request_id", F.lit(0).alias("scored"))
     )

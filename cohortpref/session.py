@@ -43,12 +43,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def snapshot(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def snapshot(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the working folder and read it back: its lineage ends there, so later jobs neither
     recompute it nor depend on executors that may be gone."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,22 +24,26 @@ def read_request_stream(
 
 
 def score_stream(
-    requests: DataFrame, model: ScoringModel, scored_path: str, rejected_path: str, checkpoint: str
+    requests: DataFrame, model: ScoringModel, scored_path: str, rejected_path: str, checkpoint: str,
+    incomplete_path: str | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Score every micro-batch and write both results as parquet, one folder per batch.
+    """Score every micro-batch and write the results as parquet, one folder per batch; incomplete rows are written
+    when a path for them is given. `trigger` holds the arguments of the stream's trigger.
 
     The job keeps no state between batches. A batch that is repeated after a failure overwrites its own folder,
-    so every request appears once. The query processes what is there and ends.
+    so every request appears once. Without `trigger` the query processes what is there and ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored, rejected = score_requests(batch, model)
+        scored, rejected, incomplete = score_requests(batch, model)
         scored.write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
+        if incomplete_path:
+            incomplete.write.mode("overwrite").parquet(f"{incomplete_path}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -120,22 +122,39 @@ def test_unknown_or_reversed_stages_are_refused(spark, full_run):
         run(spark, settings, start="TEST", stop="PCA")
 
 
+@pytest.mark.parametrize("start", ["PCA", "KMEANS", "DICT", "TEST"])
+def test_a_start_without_its_inputs_names_what_is_missing(spark, start):
+    settings = RunSettings(work_path(spark, "nothing") + "/b")
+    with pytest.raises(ValueError, match=f"stage {start} needs .*nothing"):
+        run(spark, settings, start=start)
+
+
+def test_written_centers_are_exact(spark, full_run):
+    settings, full = full_run
+    table = {r.cluster: r.center for r in spark.read.parquet(settings.paths.centers).collect()}
+    fitted = [list(map(float, c)) for c in full.kmeans.clusterCenters()]
+    assert [table[i] for i in range(len(fitted))] == fitted
+    assert [json.loads(text) for text in full.info["kmeans_centers"]] == fitted
+
+
 def requests(spark, sf_dir):
     rows = snapshot(bookings(spark, sf_dir).where("SPLIT_BUCKET >= 9900"), "requests")
     bad = F.when(F.col("SPLIT_BUCKET") % 4 == 0, "nowhere").otherwise(F.col("STRING_X_CAP"))
     return rows.withColumn("STRING_X_CAP", bad).select(
         (F.col("CLUSTER") % 5).cast("bigint").alias("request_id"), F.col("BOOKING_ID").alias("row_id"), *ROLES.columns
-    )
+    ).withColumn("X_ETA", F.when(F.crc32("row_id") % 5 > 0, F.col("X_ETA")))
 
 
 def test_scored_requests_and_the_stream_agree(spark, sf_dir, full_run, tmp_path):
     settings, _ = full_run
     model = load_model(spark, settings)
     incoming = snapshot(requests(spark, sf_dir), "requests")
-    scored, rejected = score_requests(incoming, model)
+    scored, rejected, incomplete = score_requests(incoming, model)
     n_bad = incoming.where("STRING_X_CAP = 'nowhere'").count()
     assert n_bad > 0 and rejected.count() == n_bad
-    assert scored.count() == incoming.count() - n_bad
+    n_incomplete = incoming.where("X_ETA IS NULL AND STRING_X_CAP <> 'nowhere'").count()
+    assert n_incomplete > 0 and incomplete.count() == n_incomplete
+    assert scored.count() == incoming.count() - n_bad - n_incomplete
     assert {tuple(r.rejected_cols) for r in rejected.collect()} == {("STRING_X_CAP",)}
 
     # Every distance is to the nearest centre, and the shares of a request add up.
@@ -148,10 +167,11 @@ def test_scored_requests_and_the_stream_agree(spark, sf_dir, full_run, tmp_path)
     base = str(tmp_path)
     incoming.coalesce(1).write.json(f"{base}/in")
     stream = read_request_stream(spark, f"{base}/in", model, files_per_batch=1)
-    query = score_stream(stream, model, f"{base}/scored", f"{base}/rejected", f"{base}/checkpoint")
+    query = score_stream(stream, model, f"{base}/scored", f"{base}/rejected", f"{base}/checkpoint", f"{base}/incomplete")
     query.awaitTermination(300)
     key = ["row_id", "prediction", "mean_acc"]
     batch = sorted(map(str, scored.select(*key, *[F.round(c, 9) for c in NORMALIZED]).collect()))
     streamed = spark.read.parquet(f"{base}/scored").select(*key, *[F.round(c, 9) for c in NORMALIZED])
     assert sorted(map(str, streamed.collect())) == batch
     assert spark.read.parquet(f"{base}/rejected").count() == n_bad
+    assert spark.read.parquet(f"{base}/incomplete").count() == n_incomplete
