@@ -81,14 +81,7 @@ def op6_url_filters(spark, sf_dir):
 
 @query
 def op7_token_counts(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    path = work_path(spark, "flat-tokens")
-    token_counts.write_flat(docs, tokenizer_path(), path)
-    counted = token_counts.document_tokens(token_counts.scan_blocks(spark, path))
-    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
-    counted = counted.select(part.alias("p"), F.col("index").alias("i"), "n_tokens")
-    places = token_counts.place_of(docs)
-    return places.join(counted, (F.col("part") == F.col("p")) & (F.col("index") == F.col("i"))).select("doc_id", "n_tokens", "part", "index")
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path(), work_path(spark, "flat-tokens"))
 
 
 @query

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from cohortpref.llm.packing import word_tokens
 
@@ -28,19 +29,45 @@ BLOCK_TOKENS = 1 << 20
 
 
 def write_flat(docs: DataFrame, tokenizer: str, path: str) -> None:
-    """Writes the ids of every text, in the order of the rows, to flat files in `path`, one per partition."""
+    """Writes the ids of every text, in the order of the rows, to flat files in `path`/kind=0, one per task, and beside
+    them, by the same task in the same job, the place and doc_id of every row as lines of `path`/kind=1. So which file
+    and place a document has is stored with it, and no second scan has to find the rows in the same partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer)
+        index = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
-                texts = batch.column("text")[start : start + 2000]
-                blobs = [ids.astype(">u2").tobytes() for ids in tokens.encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["ids"])
-
-    rows = docs.select("text").mapInArrow(run, "ids binary")
+                rows = batch.slice(start, 2000)
+                blobs = [ids.astype(">u2").tobytes() for ids in tokens.encode(rows.column("text"))]
+                keys = [k.as_py().encode() for k in rows.column("key")]
+                n = len(blobs)
+                places = list(range(index, index + n))
+                index += n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0] * n + [1] * n, pa.int32()), pa.array(places * 2, pa.int64()), pa.array(blobs + keys, pa.binary())],
+                    names=["kind", "index", "bytes"],
+                )
+
+    # Base64, as an id may hold the line separator.
+    key = F.base64(F.to_json(F.struct("doc_id")).cast("binary"))
+    rows = docs.select("text", key.alias("key")).mapInArrow(run, "kind int, index long, bytes binary")
     # Spark keeps the bytes of a string as they are.
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", LINE_SEPARATOR).text(path)
+    value = F.when(F.col("kind") == 0, F.col("bytes").cast("string")).otherwise(F.concat(F.col("index").cast("string"), F.lit(" "), F.col("bytes").cast("string")))
+    lines = rows.sortWithinPartitions("kind", "index").select("kind", value.alias("value"))
+    lines.write.partitionBy("kind").option("lineSep", LINE_SEPARATOR).option("maxRecordsPerFile", 0).text(path)
+
+
+def part_of(file: Column) -> Column:
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).cast("int")
+
+
+def read_places(spark: SparkSession, path: str, id_type: DataType) -> DataFrame:
+    """doc_id, part, index of every row, as `write_flat` stored them."""
+    lines = spark.read.option("lineSep", LINE_SEPARATOR).text(f"{path}/kind=1").select("value", part_of(F.col("_metadata.file_path")).alias("part"))
+    cells = F.split("value", " ", 2)
+    key = F.from_json(F.unbase64(cells[1]).cast("string"), StructType().add("doc_id", id_type))
+    return lines.select(key["doc_id"].alias("doc_id"), "part", cells[0].cast("long").alias("index"))
 
 
 def scan_blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -81,9 +108,17 @@ def document_tokens(blocks: DataFrame) -> DataFrame:
     return closed.unionByName(tail)
 
 
-def place_of(docs: DataFrame) -> DataFrame:
-    """doc_id, part, index of every row: the file of `write_flat` and the place in it, by the partitions of the scan."""
-    place = F.monotonically_increasing_id()
-    return docs.select("doc_id", place.alias("place")).select(
-        "doc_id", F.shiftright("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("index")
-    )
+def count_tokens(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
+    """doc_id, n_tokens, part, index of every row, by way of flat files in `path`. A stored place without a count, or a
+    count without a place, is an error."""
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
+    if docs.isEmpty():
+        return spark.createDataFrame([], StructType().add("doc_id", id_type).add("n_tokens", "long").add("part", "integer").add("index", "long"))
+    write_flat(docs, tokenizer, path)
+    counted = document_tokens(scan_blocks(spark, f"{path}/kind=0"))
+    counted = counted.select(part_of(F.col("file")).alias("p"), F.col("index").alias("i"), "n_tokens")
+    places = read_places(spark, path, id_type)
+    both = places.join(counted, (F.col("part") == F.col("p")) & (F.col("index") == F.col("i")), "full")
+    lost = F.raise_error(F.lit("flat files and stored places differ")).cast("long")
+    n_tokens = F.when(F.col("index").isNull() | F.col("i").isNull(), lost).otherwise(F.col("n_tokens"))
+    return both.select("doc_id", n_tokens.alias("n_tokens"), "part", "index")

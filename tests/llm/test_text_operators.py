@@ -19,6 +19,7 @@ from cohortpref.llm import components, fingerprints, lm_scoring, mixing, near_de
 from cohortpref.llm.common import words_of
 from cohortpref.llm.oracle import SQL
 from cohortpref.llm.queries import QUERIES, tokenizer_path
+from cohortpref.session import work_path
 
 LONG = " ".join(f"w{i}" for i in range(3000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -248,6 +249,30 @@ def test_token_counts(spark, sf_dir, docs, odd):
     assert counted.n_tokens.sort_index().equals(want.sort_index())
 
 
+def test_token_counts_hold_when_the_splits_change(spark, sf_dir, docs, odd, empty):
+    """The files are written before the result is read; splits in between may be planned anew."""
+    want = result(spark, sf_dir, "op8_packing").groupby(level=0).doc_tokens.first() - 1
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        counted = QUERIES["op7_token_counts"](spark, sf_dir)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        counted = counted.toPandas().set_index("doc_id")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(counted) == len(docs) and counted.n_tokens.sort_index().equals(want.sort_index())
+    path = work_path(spark, "test-flat")
+    got = token_counts.count_tokens(odd, tokenizer_path(), path).toPandas()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    sizes = Counter((r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in ODD)
+    assert Counter((None if pd.isna(d) else int(d), n) for d, n in zip(got.doc_id, got.n_tokens)) == sizes
+    assert token_counts.count_tokens(empty, tokenizer_path(), path).count() == 0
+    named = odd.withColumn("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" \u0080\n")))
+    got = token_counts.count_tokens(named, tokenizer_path(), work_path(spark, "test-flat")).toPandas()
+    assert Counter((None if pd.isna(d) else int(d[:-3]), n) for d, n in zip(got.doc_id, got.n_tokens)) == sizes
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     rng, sep = np.random.default_rng(block), token_counts.SEPARATOR
