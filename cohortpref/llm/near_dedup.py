@@ -11,10 +11,13 @@
    bounded size (pairs of chunks of one group are skipped), with exact intersection counts inside a worker, where a
    union-find lets only links through that join two groups. So no link between different groups is missed and no pairs
    are emitted.
-5. The final groups come from all links.
+5. A doc_id whose rows belong to several classes joins them: its membership links (smallest id of the class, doc_id)
+   take part wherever groups are made, so ids are nodes, not only the smallest ids of classes.
+6. The final groups come from all links.
 
 Results for odd input: a null or empty text is an empty set, linked with nothing and kept; fewer words than a shingle make
-one shingle; rows that share a doc_id are one document (linked if any of its texts is); a row without doc_id is not
+one shingle; rows that share a doc_id are one document (linked if any of its texts is, in one component, kept or not as
+one); a row without doc_id is not
 linked, has no component and is kept; an empty table gives an empty table. Other columns do not enter.
 """
 
@@ -203,6 +206,19 @@ def _between_groups(members: DataFrame, labels: DataFrame, docs: DataFrame, widt
     return work.groupBy("bucket", "chunk", "chunk2").applyInArrow(run, f"center {kind}, doc {kind}")
 
 
+def _memberships(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (center, doc) from the smallest id of a class to those of its ids that have rows in other classes or without
+    words too."""
+    known = signed.where(F.col("doc_id").isNotNull())
+    # Two hashes of the class, both null-safe, instead of the binary key, which would make the aggregation sort.
+    ranges = [(F.min(h), F.max(h)) for h in (F.xxhash64("set_key"), F.hash("set_key"))]
+    several = known.groupBy("doc_id").agg(*[f.alias(f"r{i}{j}") for i, pair in enumerate(ranges) for j, f in enumerate(pair)])
+    several = snapshot(several.where("r00 <> r01 or r10 <> r11").select("doc_id"), "several-classes")
+    rows = known.where(F.col("set_key").isNotNull()).join(several, "doc_id", "left_semi").select("doc_id", F.col("set_key").alias("key")).distinct()
+    met = rows.join(classes.select("set_key", "doc"), F.col("key") == F.col("set_key"))
+    return snapshot(met.where("doc <> doc_id").select(F.col("doc").alias("center"), F.col("doc_id").alias("doc")), "memberships")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -214,7 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     stars = buckets.groupBy("bucket").agg(F.min("doc").alias("center"), F.max("doc").alias("top")).where("center <> top")
     members = snapshot(buckets.join(stars.select("bucket", "center"), "bucket"), "members")
     pairs = snapshot(members.where("doc <> center").select("center", "doc").distinct(), "pairs")
-    links = snapshot(_verified(pairs, docs, width, percent), "links")
+    memberships = _memberships(signed, classes)
+    links = snapshot(_verified(pairs, docs, width, percent), "links").unionByName(memberships)
     labels = components(links, "center", "doc")
     more = snapshot(_between_groups(members.select("bucket", "doc"), labels, docs, width, percent), "more-links")
     if not more.isEmpty():
@@ -222,6 +239,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     grouped = classes.select("set_key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select(
         F.col("set_key").alias("key"), F.coalesce("component", "doc").alias("least")
     )
-    out = signed.drop("bands").join(grouped, F.col("set_key") == F.col("key"), "left")
+    signed = signed.drop("bands")
+    out = signed.where(F.col("set_key").isNotNull()).join(grouped, F.col("set_key") == F.col("key"), "left").select("doc_id", "n_shingles", "least")
+    # Rows without words follow the other rows of their id, if it has any.
+    blank = signed.where(F.col("set_key").isNull())
+    blank = blank.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.col("component").alias("least"))
+    out = out.unionByName(blank)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

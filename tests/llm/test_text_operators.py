@@ -172,6 +172,19 @@ def test_near_dedup_of_a_chain_and_odd_rows(spark, odd):
     assert len(got) == len(rows) and got[got.doc_id.isna()].kept.all()
 
 
+def test_near_dedup_links_through_a_shared_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(3, a), (7, a), (7, b), (8, b), (11, None), (11, b + " more"), (12, ""), (None, a), (20, "x y z"), (20, a[::-1]), (21, a[::-1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).toPandas()
+    want, _ = brute_components(rows, 4, 80)
+    known = got[got.doc_id.notna()]
+    assert len(got) == len(rows) and want[3] == want[7] == want[8] == want[11] == 3
+    assert all(int(c) == want[int(d)] and k == (c == d) for d, c, k in zip(known.doc_id, known.component_id, known.kept))
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert Counter(r.doc_id for r in left.collect()) == Counter([3, 12, None, 20, 20])
+
+
 def test_super_min_hash_estimates_similarity():
     rng = np.random.default_rng(1)
     for shared in (10, 90, 400):
