@@ -17,6 +17,8 @@ empty table. Other columns of the input do not enter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +97,8 @@ def part_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + (over < F.col("left")).cast("long")).alias("threshold"))
 
 
-def mix(docs: DataFrame, factor: float = FACTOR, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes, taken, one row per row of `docs`."""
+def _decided(docs: DataFrame, factor: float, cap: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The sized rows, and per source (column ts) source_size, target, whole and threshold."""
     rows = snapshot(sized(docs), "mix-sizes")
     targets = snapshot(source_targets(rows, factor, cap, weights), "mix-targets")
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
@@ -104,10 +106,31 @@ def mix(docs: DataFrame, factor: float = FACTOR, cap: int = CAP, weights: tuple[
     budgets = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
     cut = part_thresholds(rows, budgets).withColumnRenamed("source", "cs")
     per_source = targets.join(F.broadcast(cut), _same_source(F.col("source"), F.col("cs")), "left").drop("cs")
-    per_source = per_source.withColumnRenamed("source", "ts")
-    joined = rows.join(F.broadcast(per_source), _same_source(F.col("source"), F.col("ts")))
+    return rows, per_source.withColumnRenamed("source", "ts")
+
+
+def _passes(hashed: Column, plan: Callable[[str], Column], cap: int) -> Column:
+    """How often a row is taken, from its hash and its source's columns."""
     # Without a threshold the rest is 0 words or reaches the end of the source: a part pass takes all or nothing.
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    taken_in_part = F.coalesce(F.col("hash") < F.col("threshold"), rest >= F.col("source_size"))
-    passes = F.least(F.col("whole") + taken_in_part.cast("long"), F.lit(cap).cast("long"))
+    rest = plan("target") - plan("whole") * plan("source_size")
+    taken_in_part = F.coalesce(hashed < plan("threshold"), rest >= plan("source_size"))
+    return F.least(plan("whole") + taken_in_part.cast("long"), F.lit(cap).cast("long"))
+
+
+def mix(docs: DataFrame, factor: float = FACTOR, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, passes, taken, one row per row of `docs`."""
+    rows, per_source = _decided(docs, factor, cap, weights)
+    joined = rows.join(F.broadcast(per_source), _same_source(F.col("source"), F.col("ts")))
+    passes = _passes(F.col("hash"), F.col, cap)
     return joined.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"), (passes * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, factor: float = FACTOR, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as `mix` takes it. A row's passes come from its own
+    doc_id and source, so nothing is joined back by id."""
+    _, per_source = _decided(docs, factor, cap, weights)
+    plan = per_source.select(F.struct(*per_source.columns).alias("__plan"))
+    joined = docs.join(F.broadcast(plan), _same_source(docs["source"], F.col("__plan.ts")))
+    passes = _passes(doc_hash(F.col("doc_id")), lambda c: F.col(f"__plan.{c}"), cap)
+    taken = joined.select(*docs.columns, passes.alias("__passes")).where("__passes > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__passes"))).alias("__pass")).select(*docs.columns)

@@ -38,9 +38,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: each row once per pass (none to two)."""
-    mixed = mixing.mix(docs).where("passes > 0").select(F.col("doc_id").alias("taken_id"), "passes").distinct()
-    repeated = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("__pass")).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

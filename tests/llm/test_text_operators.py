@@ -366,6 +366,16 @@ def test_mixing_comes_near_its_targets(spark, docs):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_mixing_stage_takes_each_row_as_its_own_source_does(spark):
+    rows = [(i % 40 if i % 3 else None, "w " * (1 + i % 7), "en", (None, "a", "b", "c")[i // 40 % 4], i) for i in range(320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r["size"]] += r.passes
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert len({p for p in want.values()}) > 1 and got == +want
+
+
 def test_toxicity_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = QUERIES["op10_toxicity"](spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/labels.parquet"), on="doc_id")
