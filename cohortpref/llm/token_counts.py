@@ -1,13 +1,16 @@
 """Token counts by a separator scan over flat token files without an index.
 
-A flat file is a run of unsigned 16-bit big-endian ids; a document ends at the separator id. A file is cut into
-blocks; in each block one vectorised comparison finds the separators. A document may reach over any number of blocks, so
-the blocks are stitched by a prefix scan: the last separator before a block (a running maximum over the blocks of
-its file) is where its first document began. `write_flat` makes such files from documents with Spark's text sink, whose
+A flat file is a run of unsigned 16-bit big-endian ids; a document ends at the separator id. Spark's line reader, with
+the two bytes of the separator as line separator, reads a file in ranges (`spark.sql.files.maxPartitionBytes`), each in a
+task of its own, and finds the separators; no task holds a file, only one document at a time. The lengths of the pieces
+are summed in blocks. A range does not know how many bytes the ranges before it took, so the blocks are stitched by prefix
+scans: the bytes before a block tell which of its finds lie between two ids, and the last separator before it (a running
+maximum over the blocks of its file) is where its first document began. `write_flat` makes such files from documents with Spark's text sink, whose
 line separator is the two bytes of the separator id; so they can lie in any store that Spark writes to.
 
 Results for odd input: a null or empty text is a document of 0 tokens; tokens after the last separator of a file are a
-document of their own, marked open; an empty file has no document; an empty table gives no rows.
+document of their own, marked open; an empty file has no document; an empty table gives no rows; a file that ends within
+an id is an error. A single document of 2 GB or more does not fit a row.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from cohortpref.llm.packing import word_tokens
+from cohortpref.session import snapshot
 
 # U+0080 in UTF-8 is C2 80: big-endian 0xC280 = 49792, above the vocabulary's 49,408 ids.
 SEPARATOR = 0xC280
@@ -71,41 +76,82 @@ def read_places(spark: SparkSession, path: str, id_type: DataType) -> DataFrame:
 
 
 def scan_blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, n_tokens, ends (positions of the separators in the file): one row per block."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """file, size (bytes of the file), split, block, n_bytes, marks: one row per block. A split is a range of a file that
+    a task reads by itself; it has the pieces that begin in it. The marks are the ends of the block's pieces in bytes from
+    its begin: the bytes of the separator, which may still lie across two ids, or the end of the file."""
+    line_sep = separator.to_bytes(2, "big").decode("latin-1")
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", line_sep).text(path)
+    pieces = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("split"), F.octet_length("value").cast("long").alias("length"),
+    )
+    limit = 2 * block_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0  # ascending inside a task, and so inside a split
         for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content")):
-                ids = np.frombuffer(content.as_buffer(), ">u2")
-                for number, start in enumerate(range(0, len(ids), block_tokens)):
-                    part = ids[start : start + block_tokens]
-                    ends = np.flatnonzero(part == separator) + start
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()]), pa.array([number], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))],
-                        names=["file", "block", "n_tokens", "ends"],
-                    )
-
-    return files.mapInArrow(run, "file string, block long, n_tokens long, ends array<bigint>")
+            n = batch.num_rows
+            if not n:
+                continue
+            files, splits = batch.column("file"), batch.column("split").to_numpy()
+            other = pc.not_equal(files.slice(1), files.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            runs = [0, *(np.flatnonzero(other | (splits[1:] != splits[:-1])) + 1), n]
+            sizes = batch.column("length").to_numpy() + 2
+            rows = []
+            for first, last in zip(runs, runs[1:]):
+                ends = np.cumsum(sizes[first:last])
+                cuts = [0, *(np.flatnonzero(np.diff((ends - 1) // limit)) + 1), len(ends)]
+                for low, high in zip(cuts, cuts[1:]):
+                    begin = ends[low - 1] if low else 0
+                    rows.append((files[first].as_py(), batch.column("size")[first].as_py(), int(splits[first]), number, int(ends[high - 1] - begin), ends[low:high] - begin - 2))
+                    number += 1
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            names = ["file", "size", "split", "block", "n_bytes", "marks"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return pieces.mapInArrow(run, "file string, size long, split long, block long, n_bytes long, marks array<bigint>")
 
 
 def document_tokens(blocks: DataFrame) -> DataFrame:
     """file, index (of the document in its file, from 0), start, n_tokens, open: one row per document."""
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    carried = blocks.select(
-        "file", "ends", F.coalesce(F.max(last).over(before), F.lit(-1)).alias("previous"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first"),
+    blocks = snapshot(blocks, "token-blocks")
+    at = ["file", "split", "block"]
+
+    def aligned(begin: Column) -> Column:
+        return F.filter("marks", lambda m: (m + begin) % 2 == 0)
+
+    # The windows see one small row per block; where a block begins decides which of its marks lie between two ids.
+    cells = [*at, "size", "n_bytes"]
+    for odd in (0, 1):
+        marks = aligned(F.lit(odd))
+        cells += [F.size(marks).alias(f"n{odd}"), F.when(F.size(marks) > 0, F.element_at(marks, -1)).alias(f"last{odd}")]
+    in_file = Window.partitionBy("file")
+    before = in_file.orderBy("split", "block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(*cells).withColumns({
+        "begin": F.coalesce(F.sum("n_bytes").over(before), F.lit(0)), "more": F.col("size") - F.sum("n_bytes").over(in_file),
+    })
+    # Every piece counts two bytes of separator, also the last one of a file without. The line reader leaves out the
+    # three bytes of a byte order mark at the begin of a file.
+    whole = (F.col("size") % 2 == 0) & F.col("more").isin(0, -2, 3, 1)
+    begin = F.when(whole, F.col("begin") + F.when(F.col("more") > 0, 3).otherwise(0)).otherwise(
+        F.raise_error(F.concat(F.lit("not a whole number of ids, or not read whole: "), "file")).cast("long")
+    )
+    placed = placed.withColumn("begin", begin)
+    odd = F.col("begin") % 2 == 1
+    last = F.col("begin") + F.when(odd, F.col("last1")).otherwise(F.col("last0"))
+    carried = placed.select(
+        *[F.col(c).alias(f"c_{c}") for c in at], "begin", F.coalesce((F.max(last).over(before) / 2).cast("long"), F.lit(-1)).alias("previous"),
+        F.coalesce(F.sum(F.when(odd, F.col("n1")).otherwise(F.col("n0"))).over(before), F.lit(0)).alias("first"),
     )
-    begins = F.concat(F.array("previous"), F.col("ends"))
-    closed = carried.select("file", "first", begins.alias("begins"), F.posexplode("ends").alias("at", "end")).select(
-        "file", (F.col("first") + F.col("at")).cast("long").alias("index"), (F.col("begins")[F.col("at")] + 1).alias("start"), "end"
+    same = (F.col("file") == F.col("c_file")) & (F.col("split") == F.col("c_split")) & (F.col("block") == F.col("c_block"))
+    ends = F.transform(aligned(F.col("begin")), lambda m: F.shiftright(m + F.col("begin"), 1))
+    joined = blocks.join(carried, same).select("file", "size", "previous", "first", ends.alias("ends"))
+    found = joined.select("file", "size", "first", F.concat(F.array("previous"), "ends").alias("begins"), F.posexplode("ends").alias("at", "end"))
+    start = F.col("begins")[F.col("at")] + 1
+    return found.select(
+        "file", (F.col("first") + F.col("at")).cast("long").alias("index"), start.alias("start"), (F.col("end") - start).alias("n_tokens"),
+        (2 * F.col("end") == F.col("size")).alias("open"),
     )
-    closed = closed.select("file", "index", "start", (F.col("end") - F.col("start")).alias("n_tokens"), F.lit(False).alias("open"))
-    totals = blocks.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.max(last).alias("last"), F.sum(F.size("ends")).cast("long").alias("index"))
-    start = F.coalesce(F.col("last") + 1, F.lit(0))
-    tail = totals.where(F.col("size") > start).select("file", "index", start.alias("start"), (F.col("size") - start).alias("n_tokens"), F.lit(True).alias("open"))
-    return closed.unionByName(tail)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:

@@ -303,6 +303,35 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     assert {(r.file.rsplit("/", 1)[1], r["index"], r.start, r.n_tokens, r.open) for r in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("split", [41, 100])
+def test_separator_scan_reads_ranges_of_a_file(spark, tmp_path, split):
+    """One file in many tasks; separator bytes across two ids, a byte order mark, an open end and empty documents."""
+    rng, sep = np.random.default_rng(split), token_counts.SEPARATOR
+    some = [sep, 0x00C2, 0x8000, 0xC2C2, 0x8080, 5, 6]
+    files = {"a": rng.choice(some, 300), "b": np.array([0xEFBB, 0xBF07, 1, sep, 2, sep]), "c": np.array([0xEFBB, 0xBF07, 1]), "d": np.array([sep, sep]),
+             "e": np.append(rng.choice(some, 90), sep)}
+    want = set()
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(ids.astype(">u2").tobytes())
+        start, index = 0, 0
+        for end in [*np.flatnonzero(ids == sep), len(ids)]:
+            if end < len(ids) or end > start:
+                want.add((name, index, start, int(end) - start, bool(end == len(ids))))
+            start, index = int(end) + 1, index + 1
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    held = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], str(split))
+        spark.conf.set(names[1], "0")
+        blocks = token_counts.scan_blocks(spark, str(tmp_path), sep, 16)
+        assert blocks.rdd.getNumPartitions() > len(files)
+        rows = token_counts.document_tokens(blocks).collect()
+    finally:
+        for n, v in zip(names, held):
+            spark.conf.set(n, v)
+    assert {(r.file.rsplit("/", 1)[1], r["index"], r.start, r.n_tokens, r.open) for r in rows} == want and len(rows) == len(want)
+
+
 def check_pieces(pieces, texts):
     """texts: Counter of (doc_id, text)."""
     from tokenizers import Tokenizer
