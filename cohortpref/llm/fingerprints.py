@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from cohortpref.llm.common import pieces, text_bytes, word_array
 from cohortpref.session import snapshot
 
-SAMPLES = 32
+# Samples are drawn in groups, as many columns at a time. The standard error of a likeness is
+# sqrt(s (1 - s) / SAMPLES): 0.044 at similarity 0.5, 0.035 at 0.8.
+GROUP_SAMPLES = 32
+GROUPS = 4
+SAMPLES = GROUP_SAMPLES * GROUPS
 SEED = 77
 RANGE_IDS = 200_000
 PARTITION_BYTES = 5 << 20
@@ -36,7 +40,7 @@ def _uniform(h: str, low: int, places: int) -> str:
 
 def _sample(number: int) -> Column:
     """Value of sample `number` from its hash, the logarithm `log_weight` and the term's uniform `beta`. The samples of a
-    term share `beta`, turned by another part of the circle for each."""
+    term and group share `beta`, turned by another part of the circle for each."""
     turn = math.modf((number + 1) * (math.sqrt(5) - 1) / 2)[0]
     b = f"(beta + if(beta < {1 - turn!r}D, {turn!r}D, {turn - 1!r}D))"
     h = f"h{number}"
@@ -64,17 +68,21 @@ def draw(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """`keys` and `fingerprint` of every row. The keys must tell rows apart; where `rows` is dealt by one of them nothing
     is shuffled, and a task holds one set of least values per row."""
     terms = _weighted_terms(rows, keys, text)
-    # The hashes are columns of their own, so that each is computed once and the expressions stay small; all columns
-    # together stay below the number up to which Spark generates code for a whole stage (100).
-    numbers = range(SAMPLES)
+    # The hashes are columns of their own, so that each is computed once and the expressions stay small; all columns of a
+    # group together stay below the number up to which Spark generates code for a whole stage (100). The groups are rows.
+    numbers = range(GROUP_SAMPLES)
+    terms = terms.select(*keys, "term", "weight", F.explode(F.array(*[F.lit(g) for g in range(GROUPS)])).alias("group"))
+    seed = F.lit(SEED) + F.col("group") * F.lit(GROUP_SAMPLES + 1)
     measured = terms.select(
-        *keys, F.log(F.col("weight").cast("double")).alias("log_weight"),
-        (F.xxhash64("term", F.lit(SEED)).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("beta"),
-        *[F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(SEED + 1 + j))).alias(f"h{j}") for j in numbers],
+        *keys, "group", F.log(F.col("weight").cast("double")).alias("log_weight"),
+        (F.xxhash64("term", seed).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("beta"),
+        *[F.when(F.col("term").isNotNull(), F.xxhash64("term", seed + F.lit(1 + j))).alias(f"h{j}") for j in numbers],
     )
-    least = measured.groupBy(*keys).agg(*[F.min(_sample(j)).alias(f"m{j}") for j in numbers])
+    least = measured.groupBy(*keys, "group").agg(*[F.min(_sample(j)).alias(f"m{j}") for j in numbers])
     cells = [F.lpad(F.hex(F.xxhash64(F.coalesce(f"m{j}", F.lit(float("inf")))).bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in numbers]
-    return least.select(*keys, F.concat(*cells).alias("fingerprint"))
+    drawn = least.select(*keys, "group", F.concat(*cells).alias("cells"))
+    parts = drawn.groupBy(*keys).agg(*[F.max(F.when(F.col("group") == g, F.col("cells"))).alias(f"g{g}") for g in range(GROUPS)])
+    return parts.select(*keys, F.concat(*[f"g{g}" for g in range(GROUPS)]).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:

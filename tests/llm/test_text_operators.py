@@ -78,6 +78,18 @@ def test_fingerprints(spark, sf_dir, docs):
     assert same.max() == 1
 
 
+def test_fingerprints_err_little(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"v{rng.randrange(400)}" for _ in range(200)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    off = []
+    for row in fingerprints.fingerprints(docs).collect():
+        text, following = texts[row.doc_id], texts[(row.doc_id + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
+        off += [row.near_edited - likeness(text, edited), row.near_next - likeness(text, following)]
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.05, np.sqrt(np.mean(np.square(off)))
+
+
 def test_quality_statistics_and_list(spark, sf_dir, docs):
     got = result(spark, sf_dir, "op2_quality_rules")
     for doc_id, text in zip(docs.doc_id, docs.text):
