@@ -58,9 +58,14 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_train_split():
+    """The train rows of every cluster."""
+    return in_train(F.col("SPLIT_BUCKET"), SPLIT_WEIGHTS)
+
+
 def is_train():
-    return in_train(F.col("SPLIT_BUCKET"), SPLIT_WEIGHTS) & (F.col("CLUSTER") != UNTRAINED_CLUSTER)
+    return in_train_split() & (F.col("CLUSTER") != UNTRAINED_CLUSTER)
 
 
 def is_test():
-    return ~in_train(F.col("SPLIT_BUCKET"), SPLIT_WEIGHTS)
+    return ~in_train_split()

@@ -46,7 +46,7 @@ from cohortpref.operators.ranking import choice_frequency, fit_preferences, rank
 from cohortpref.operators.reports import cluster_distincts, cluster_sizes
 from cohortpref.operators.scoring import load_model, normalize_by_request, score_requests
 from cohortpref.operators.split import hash_split, random_split
-from cohortpref.plans.bookings import CLUSTERS, SPLIT_WEIGHTS, bookings, is_test, is_train
+from cohortpref.plans.bookings import CLUSTERS, SPLIT_WEIGHTS, bookings, in_train_split, is_test, is_train
 from cohortpref.plans.oracle import CHOICES
 from cohortpref.plans.stages import model_info, run
 from cohortpref.plans.sweep import kmeans_sweep
@@ -400,7 +400,7 @@ def pca_fit_project(spark, sf_dir):
     features = encode_features(rows, _features(spark, rows)).select(ID, "SPLIT_BUCKET", "CLUSTER", "features")
     components = pca_components(vector_width(features, "features"), PCA_PERCENT)
     features = snapshot(features, "features")
-    model = fit_pca(features.where(is_train()), components)
+    model = fit_pca(features.where(in_train_split()), components)
     return model.transform(features).select(ID, vector_to_array("pca_features").alias("pca_features"))
 
 
@@ -410,7 +410,7 @@ def pca_variance(spark, sf_dir):
     rows = written(spark, sf_dir)
     features = encode_features(rows, _features(spark, rows))
     components = pca_components(vector_width(features, "features"), PCA_PERCENT)
-    shares = fit_pca(features.where(is_train()), components).explainedVariance
+    shares = fit_pca(features.where(in_train_split()), components).explainedVariance
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, share double")
 
 

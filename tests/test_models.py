@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cohortpref.plans import catalog
 from cohortpref.functions.vectors import nearest_rows
 from cohortpref.operators.cluster import assign_nearest, fit_kmeans, fit_pca, model_centers, model_wssse, pca_components
 from cohortpref.operators.scoring import load_model, normalize_by_request, response_rows, score_requests
@@ -175,3 +176,17 @@ def test_scored_requests_and_the_stream_agree(spark, sf_dir, full_run, tmp_path)
     assert sorted(map(str, streamed.collect())) == batch
     assert spark.read.parquet(f"{base}/rejected").count() == n_bad
     assert spark.read.parquet(f"{base}/incomplete").count() == n_incomplete
+
+
+@pytest.mark.parametrize("name", ["pca_fit_project", "pca_variance"])
+def test_pca_learns_from_the_train_rows_of_every_cluster(spark, sf_dir, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def fit(rows, components):
+        raise Seen({r.CLUSTER for r in rows.select("CLUSTER").distinct().collect()})
+
+    monkeypatch.setattr(catalog, "fit_pca", fit)
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES[name](spark, sf_dir)
+    assert seen.value.args[0] == set(range(25))
