@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpref.llm import fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from cohortpref.llm import (
+    collocations,
+    fingerprints,
+    importance,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    packing,
+    piece_encoding,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from cohortpref.llm.common import crc_remainder
 from cohortpref.session import snapshot, work_path
 
@@ -28,10 +42,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -102,3 +116,25 @@ def op10_toxicity(spark, sf_dir):
     learnt = labels(spark, sf_dir).where(~held_out)
     scored = toxicity.score(docs, toxicity.fit(docs, learnt))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op11_importance(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query
+def op13_piece_encoding(spark, sf_dir):
+    model = piece_encoding.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    made = model.round_trip(documents(spark, sf_dir))
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
