@@ -37,8 +37,8 @@ LONGEST = 4
 LEAST = 30
 TOP = 2000
 CONTAINED_PERCENT = 80
-SHARD_BYTES = 12 << 20  # of text in a shard, or one text if that is longer
-HELD_BYTES = 32 << 20  # of text that a task holds for shards to come
+SHARD_BYTES = 4 << 20  # of text in a shard, or one text if that is longer
+HELD_BYTES = 16 << 20  # of text that a task holds for shards to come
 WORD_ROWS = 400_000  # dictionary entries that a task numbers
 PART_KEYS = 1_000_000  # entries of a filter after the last round
 FAN_BITS = 8
@@ -134,8 +134,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 def number_words(written: DataFrame, least: int, word_rows: int = WORD_ROWS) -> tuple[DataFrame, int]:
     """Rows (shard, pos, lang, id, f, word) of the words that occur `least` times or more in their language; the word only
-    in one row of each. And the number of bits of an id: words are dealt by a hash into parts and numbered there, the id
-    is part and number."""
+    in one row of each. And the number of bits of an id: words are dealt by a hash into parts and numbered there."""
     total = written.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = pieces(total, word_rows)
     entries = written.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "entry"))
@@ -149,12 +148,12 @@ def number_words(written: DataFrame, least: int, word_rows: int = WORD_ROWS) ->
     numbered = snapshot(
         numbered.select("shard", "pos", "lang", "part", "local", "f", F.when(F.col("shard") == F.col("first"), F.col("word")).alias("word")), "word-ids"
     )
-    low = (numbered.agg(F.max("local")).first()[0] or 0).bit_length()
-    bits = low + (parts - 1).bit_length()
+    # Ids from 1 on: the places of all parts in turn.
+    bits = ((numbered.agg(F.max("local")).first()[0] or 1) * parts).bit_length()
     if bits > 32:
         raise ValueError(f"ids of {bits} bits: phrases of four words pack at most 32 bits a word")
-    word_id = F.shiftleft(F.col("part").cast("long"), low) + F.col("local")
-    return numbered.select("shard", "pos", "lang", word_id.alias("id"), "f", "word"), max(1, bits)
+    word_id = (F.col("local") - 1) * parts + F.col("part") + 1
+    return numbered.select("shard", "pos", "lang", word_id.alias("id"), "f", "word"), bits
 
 
 def halves(n: int, bits: int) -> tuple[int, int]:
@@ -196,15 +195,24 @@ def add_up(left: np.ndarray, right: np.ndarray, counts: np.ndarray, sizes: tuple
     """Distinct (left, right) in ascending order and the sums of their counts."""
     if not len(left):
         return left, right, counts
-    if sum(sizes) <= 64:
-        order = np.argsort(left << np.uint64(sizes[1]) | right, kind="stable")
-    else:
-        order = np.lexsort((right, left))
+    order = np.argsort(left << np.uint64(sizes[1]) | right, kind="stable") if sum(sizes) <= 64 else np.lexsort((right, left))
     left, right = left[order], right[order]
     first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
     return left[first], right[first], np.add.reduceat(counts[order], first)
 
 
+def count_equal(left: np.ndarray, right: np.ndarray, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `add_up`, every entry counting once."""
+    if not len(left) or sum(sizes) > 64:
+        return add_up(left, right, np.ones(len(left), np.int64), sizes)
+    keys = left << np.uint64(sizes[1]) | right
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    return keys >> np.uint64(sizes[1]), keys & np.uint64((1 << sizes[1]) - 1), counts
+
+
 def to_filter(left: np.ndarray, right: np.ndarray, counts: np.ndarray, sizes: tuple[int, int], prefix_bits: int) -> bytes:
     """The filter of ascending distinct entries whose upper `prefix_bits` bits are equal (and not stored)."""
     n, free = len(left), sizes[0] - prefix_bits
@@ -279,8 +287,8 @@ def frequent_grams(
             return _filter_rows([])
         shard, lang = left.column("shard")[0].as_py(), left.column("lang")[0].as_py()
         blob = left.column("codes")[0].as_buffer()
-        codes = _from_planes(memoryview(blob)[8:], struct.unpack_from("<Q", blob)[0], 4).astype(np.int64)
-        table = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+        codes = _from_planes(memoryview(blob)[8:], struct.unpack_from("<Q", blob)[0], 4).astype(np.uint32)
+        table = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)
         table[right.column("pos").to_numpy() + 1] = right.column("id").to_numpy()
         words = table[codes]
         rows = []
@@ -292,8 +300,7 @@ def frequent_grams(
                 whole &= words[k : len(words) - n + 1 + k] > 0
             places = np.flatnonzero(whole)
             sizes = halves(n, bits)
-            entries = permute(*pack([words[places + k] for k in range(n)], bits), sizes)
-            entries = add_up(*entries, np.ones(len(places), np.int64), sizes)
+            entries = count_equal(*permute(*pack([words[places + k] for k in range(n)], bits), sizes), sizes)
             rows += [(lang, n, shard % first_groups, p, f) for p, f in slices(*entries, sizes, first_bits)]
         return _filter_rows(rows)
 
