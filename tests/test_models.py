@@ -1,5 +1,3 @@
-import json
-
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -101,7 +99,8 @@ def test_resumed_stages_equal_the_full_run(spark, full_run):
         assert report(resumed, name) == report(full, name)
     assert resumed.info["wssse_test"] == pytest.approx(full.info["wssse_test"])
     assert full.info["rows_train"] + full.info["rows_test"] == 6000
-    assert full.info["wssse_train"] == pytest.approx(model_wssse(spark, full.kmeans, full.train))
+    fitted = full.kmeans.transform(full.train.drop("prediction"))
+    assert full.info["wssse_train"] == pytest.approx(model_wssse(spark, full.kmeans, fitted))
     text = spark.read.text(settings.paths.report("TEST"), wholetext=True).first()[0]
     assert "WSSSE TEST" in text and "Y_STER" in text
     assert spark.read.parquet(settings.paths.indexed).count() == 6000
@@ -130,12 +129,13 @@ def test_a_start_without_its_inputs_names_what_is_missing(spark, start):
         run(spark, settings, start=start)
 
 
-def test_written_centers_are_exact(spark, full_run):
+def test_written_centers_are_exact_and_in_order(spark, full_run):
     settings, full = full_run
-    table = {r.cluster: r.center for r in spark.read.parquet(settings.paths.centers).collect()}
+    table = spark.read.parquet(settings.paths.centers).orderBy("cluster").collect()
     fitted = [list(map(float, c)) for c in full.kmeans.clusterCenters()]
-    assert [table[i] for i in range(len(fitted))] == fitted
-    assert [json.loads(text) for text in full.info["kmeans_centers"]] == fitted
+    assert [r.center for r in table] == sorted(fitted) and [r.cluster for r in table] == list(range(len(fitted)))
+    assert all(fitted[r.fitted] == r.center for r in table)
+    assert (full.info["kmeans_centers"], full.info["kmeans_centers_found"]) == (settings.paths.centers, len(fitted))
 
 
 def requests(spark, sf_dir):
