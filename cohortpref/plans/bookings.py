@@ -14,6 +14,9 @@ CLUSTERS = 30
 # This cluster is left out of the train rows, so its test rows have no ranking.
 UNTRAINED_CLUSTER = 24
 SPLIT_WEIGHTS = (0.09, 0.01)
+# Distance of the groups of `separated_bookings`, far beyond the span of their ages.
+GROUP_DISTANCE = 1000
+GROUPS = 5
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,14 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def separated_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bookings with the ages of every district far from those of the others: k-means with GROUPS clusters finds the
+    districts, whatever its start, so that fits and scores have known results. CLUSTER is the district."""
+    district = F.col("STRING_X_USL").cast("int")
+    age = F.col("X_ETA") + F.lit(GROUP_DISTANCE) * district
+    return bookings(spark, sf_dir).withColumns({"X_ETA": age.cast("int"), "CLUSTER": district})
+
+
 def in_train_split():
     """The train rows of every cluster."""
     return in_train(F.col("SPLIT_BUCKET"), SPLIT_WEIGHTS)

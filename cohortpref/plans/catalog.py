@@ -20,12 +20,14 @@ from cohortpref.operators.accuracy import (
     position_stats,
     scored_steps,
 )
+from cohortpref.operators.canonical import number_centers, renumber
 from cohortpref.operators.clean import clean_bookings, drop_incomplete, without_columns
 from cohortpref.operators.cluster import (
     assign_nearest,
     center_table,
     fit_kmeans,
     fit_pca,
+    model_centers,
     pca_components,
     project,
     with_center_distance,
@@ -44,16 +46,17 @@ from cohortpref.operators.encode import (
 )
 from cohortpref.operators.ranking import choice_frequency, fit_preferences, rank_choices, ranking_totals
 from cohortpref.operators.reports import cluster_distincts, cluster_sizes
+from cohortpref.operators.responses import request_responses
 from cohortpref.operators.scoring import load_model, normalize_by_request, score_requests
 from cohortpref.operators.split import hash_split, random_split
-from cohortpref.plans.bookings import CLUSTERS, SPLIT_WEIGHTS, bookings, in_train_split, is_test, is_train
+from cohortpref.plans.bookings import CLUSTERS, GROUPS, SPLIT_WEIGHTS, bookings, in_train_split, is_test, is_train, separated_bookings
 from cohortpref.plans.oracle import CHOICES
 from cohortpref.plans.stages import model_info, run
-from cohortpref.plans.sweep import kmeans_sweep
+from cohortpref.plans.sweep import kmeans_sweep, read_sweep, write_sweep
 from cohortpref.session import snapshot, work_path
 from cohortpref.sources.readers import parse_json_column, read_bookings_csv, read_bookings_json
 from cohortpref.sources.writers import write_parquet
-from cohortpref.streaming.requests import read_request_stream, score_stream
+from cohortpref.streaming.requests import StreamOutputs, gather_requests, read_request_stream, score_stream
 
 ROLES = ColumnRoles()
 ID = "BOOKING_ID"
@@ -166,7 +169,7 @@ def value_domain_query(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     rows = written(spark, sf_dir)
-    domains = save_domains(value_domain(rows.where(is_train()), ROLES.validated), work_path(spark, "domain"))
+    domains = save_domains(value_domain(rows.where(in_train_split()), ROLES.validated), work_path(spark, "domain"))
     bucket = F.col("SPLIT_BUCKET")
     requests = rows.where(is_test()).withColumns(
         {
@@ -272,7 +275,7 @@ def random_split_counts(spark, sf_dir):
 
 
 def _frequency(spark, sf_dir):
-    return choice_frequency(clean(spark, sf_dir).where(is_train()), "CLUSTER", CHOICES)
+    return choice_frequency(clean(spark, sf_dir).where(in_train_split()), "CLUSTER", CHOICES)
 
 
 @query
@@ -414,12 +417,21 @@ def pca_variance(spark, sf_dir):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, share double")
 
 
+def _grouped(spark, sf_dir):
+    """The vectors in ten groups far apart, and the groups in two halves farther apart: 20 is added to the coordinate of
+    the label, 200 to one coordinate of the upper labels."""
+    upper = F.col("label") >= 5
+    far = F.transform("v", lambda x, i: x + F.when(i == F.col("label"), 20.0).when((i == 20) & upper, 200.0).otherwise(0.0))
+    return vectors(spark, sf_dir).select("vec_id", array_to_vector(far).alias("pca_features"))
+
+
 @query
 def kmeans_fit_assign(spark, sf_dir):
-    """Nearest fitted centre of every vector, with the model trained on the vectors themselves."""
-    points = vectors(spark, sf_dir)
-    features = points.select("vec_id", array_to_vector("v").alias("pca_features"))
-    return fit_kmeans(features, 10).transform(features).select("vec_id", "prediction")
+    """Cluster of every vector, with the model trained on the vectors themselves and its clusters numbered by the rule."""
+    features = _grouped(spark, sf_dir)
+    model = fit_kmeans(features, 10)
+    centers = snapshot(number_centers(snapshot(model_centers(spark, model), "centers")), "centers")
+    return renumber(model.transform(features), "prediction", centers).select("vec_id", "prediction")
 
 
 @query
@@ -433,9 +445,11 @@ def pca_full_norms(spark, sf_dir):
 
 @query
 def kmeans_sweep_query(spark, sf_dir):
-    features = vectors(spark, sf_dir).select("vec_id", array_to_vector("v").alias("pca_features"))
-    train, test = hash_split(features, ["vec_id"], SPLIT_WEIGHTS)
-    return kmeans_sweep(train, test, (2, 5, 10))
+    """The sweep's table, read back from the file it is written to."""
+    train, test = hash_split(_grouped(spark, sf_dir), ["vec_id"], SPLIT_WEIGHTS)
+    path = work_path(spark, "sweep")
+    write_sweep(kmeans_sweep(train, test, (2, 10)), path)
+    return rounded(read_sweep(spark, path), "wssse_train", "wssse_test")
 
 
 # Scoring and whole runs
@@ -457,49 +471,98 @@ def score_normalized(spark, sf_dir):
     return rounded(scored, "centerdistance", "acc", "acc_norm", "request_wssse")
 
 
-def _run(spark, sf_dir, stop="TEST"):
-    settings = RunSettings(
-        base=work_path(spark, "run") + "/bookings", pca_perc=PCA_PERCENT, k=MODEL_K, split_key=(ID,)
-    )
-    state = run(spark, settings, stop=stop, bookings=bookings(spark, sf_dir).select(ID, *ROLES.columns))
+def _run(spark, sf_dir, stop="TEST", separated=False):
+    """A run over the bookings; over the separated ones with all components and one cluster per group."""
+    rows = (separated_bookings if separated else bookings)(spark, sf_dir).select(ID, *ROLES.columns)
+    perc, k = (100, GROUPS) if separated else (PCA_PERCENT, MODEL_K)
+    settings = RunSettings(base=work_path(spark, "run") + "/bookings", pca_perc=perc, k=k, split_key=(ID,))
+    state = run(spark, settings, stop=stop, bookings=rows)
     return settings, state
 
 
 def _requests(spark, sf_dir):
-    """The test rows as requests of one customer's postcode each."""
-    rows = snapshot(bookings(spark, sf_dir).where(is_test()), "requests")
-    return rows.select(F.col("STRING_X_CAP").cast("bigint").alias("request_id"), F.col(ID).alias("row_id"), *ROLES.columns)
+    """The separated test rows as requests of one prescriber each, some with an unknown post code, some without an age."""
+    rows = snapshot(separated_bookings(spark, sf_dir).where(is_test()), "requests")
+    bucket = F.col("SPLIT_BUCKET")
+    altered = {
+        "STRING_X_CAP": F.when(bucket % 7 == 0, "nowhere").otherwise(F.col("STRING_X_CAP")),
+        "X_ETA": F.when(bucket % 11 != 0, F.col("X_ETA")),
+    }
+    return rows.withColumns(altered).select(
+        F.col("STRING_X_PRESCRITTORE").cast("bigint").alias("request_id"), F.col(ID).alias("row_id"), *ROLES.columns
+    )
+
+
+def _scored_columns(scored):
+    per_choice = [f"{kind}_{c}" for c in ROLES.y for kind in ("POS", "LAST_POS", "ACC", "ACC_NORM")]
+    out = scored.select(
+        "request_id", "row_id", "prediction", *per_choice, "tot_acc", "mean_acc", "mean_acc_norm", "centerdistance",
+        F.round("request_wssse", 4).alias("request_wssse"),
+    )
+    doubles = [c for c, kind in out.dtypes if kind == "double" and c != "request_wssse"]
+    return rounded(out, *doubles)
 
 
 @query
 def score_requests_query(spark, sf_dir):
-    settings, _ = _run(spark, sf_dir, stop="DICT")
+    settings, _ = _run(spark, sf_dir, stop="DICT", separated=True)
     scored, _, _ = score_requests(_requests(spark, sf_dir), load_model(spark, settings))
-    return scored
+    return _scored_columns(scored)
+
+
+@query
+def score_responses(spark, sf_dir):
+    """The response of every request, its entries as text."""
+    settings, _ = _run(spark, sf_dir, stop="DICT", separated=True)
+    results = score_requests(_requests(spark, sf_dir), load_model(spark, settings))
+    responses = request_responses(*results, ROLES.y, ROLES.columns)
+    micro = lambda x: F.round(x * 10000).cast("bigint").cast("string")
+    entry = lambda e: F.concat(
+        e["row_id"], F.lit("="), F.concat_ws(":", e["prediction"].cast("string"), micro(e["mean_acc"]), micro(e["mean_acc_norm"]), micro(e["centerdistance"]))
+    )
+    refused = lambda e: F.concat(
+        e["row_id"], F.lit("="), F.concat_ws(",", F.transform(e["rejected_cols"], lambda c: F.concat_ws(":", c["key"], c["value"])))
+    )
+    return responses.withColumns(
+        {
+            "request_wssse": F.round("request_wssse", 4),
+            "accuracies": F.concat_ws(";", F.transform("accuracies", entry)),
+            "rejected": F.concat_ws(";", F.transform("rejected", refused)),
+            "incomplete": F.concat_ws(";", F.transform("incomplete", lambda e: e["row_id"])),
+        }
+    )
 
 
 @query
 def score_requests_stream(spark, sf_dir):
-    """The same requests as JSON files, scored by the streaming job."""
-    settings, _ = _run(spark, sf_dir, stop="DICT")
+    """The same requests as they arrive: every request's rows lie in three files, and are scored when all are there."""
+    settings, _ = _run(spark, sf_dir, stop="DICT", separated=True)
     base = work_path(spark, "stream")
-    _requests(spark, sf_dir).write.json(f"{base}/in")
+    rows = _requests(spark, sf_dir)
+    sizes = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("request_rows"))
+    rows = snapshot(rows.join(sizes, "request_id"), "arriving")
+    for file in range(3):
+        rows.where(F.pmod(F.xxhash64("row_id"), F.lit(3)) == file).coalesce(1).write.mode("append").json(f"{base}/in")
     model = load_model(spark, settings)
-    stream = read_request_stream(spark, f"{base}/in", model)
-    score_stream(stream, model, f"{base}/scored", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/scored").drop("batch")
+    stream = gather_requests(read_request_stream(spark, f"{base}/in", model, files_per_batch=1))
+    outputs = StreamOutputs(f"{base}/scored", f"{base}/rejected", f"{base}/incomplete", f"{base}/unfinished")
+    score_stream(stream, model, outputs, f"{base}/checkpoint").awaitTermination()
+    return _scored_columns(spark.read.parquet(outputs.scored))
 
 
 @query
 def model_info_query(spark, sf_dir):
-    settings, _ = _run(spark, sf_dir, stop="KMEANS")
-    return model_info(spark, settings)
+    settings, _ = _run(spark, sf_dir, stop="KMEANS", separated=True)
+    info = model_info(spark, settings)
+    return info.select(
+        "num_custer", F.col("kmeans_centers_found").alias("centers"), "tot_col", "k_pca", F.round("wssse_train", 3).alias("wssse_train")
+    )
 
 
 @query
 def staged_run(spark, sf_dir):
     """All stages; the accuracy report of the held-out rows."""
-    _, state = _run(spark, sf_dir)
+    _, state = _run(spark, sf_dir, separated=True)
     return rounded(state.reports["accuracy_by_choice"], "mean_acc", "max_acc", "min_acc")
 
 

@@ -44,7 +44,7 @@ _CODES = " ".join(f"WHEN Y_GIORNI_ALLA_PRENOTAZIONE < {b} THEN {n}" for n, b in
 DAY_CODE = f"CAST(CASE {_CODES} ELSE {len(DAY_BOUNDS)} END AS INTEGER)"
 
 BOOKINGS = f"{RAW},\nb AS (SELECT * REPLACE ({DAY_CODE} AS Y_GIORNI_ALLA_PRENOTAZIONE) FROM raw)"
-TRAIN = "SPLIT_BUCKET < 9000 AND CLUSTER <> 24"
+TRAIN = "SPLIT_BUCKET < 9000"
 TEST = "SPLIT_BUCKET >= 9000"
 
 
@@ -55,11 +55,14 @@ def _cells(columns, source, keep="", where="TRUE", name="col"):
     )
 
 
-FREQUENCY = f"""{BOOKINGS},
-cells AS ({_cells(CHOICES, "b", "CLUSTER AS cluster", TRAIN, "ycol")}),
-frequency AS (SELECT cluster, ycol, val, CAST(count(*) AS BIGINT) AS occur FROM cells GROUP BY ALL)"""
-
-RANKING = f"""{FREQUENCY},
+def _ranking(base, rows, train, choices=CHOICES, names=CHOICES):
+    """`base` and the tables frequency, ranking and totals over the `train` rows of the table `rows`."""
+    cells = _cells(choices, rows, "CLUSTER AS cluster", train, "ycol")
+    for choice, name in zip(choices, names):
+        cells = cells.replace(f"'{choice}' AS ycol", f"'{name}' AS ycol")
+    return f"""{base},
+cells AS ({cells}),
+frequency AS (SELECT cluster, ycol, val, CAST(count(*) AS BIGINT) AS occur FROM cells GROUP BY ALL),
 ranking AS (
   SELECT *, CAST(dense_rank() OVER (PARTITION BY cluster, ycol ORDER BY occur DESC) AS INTEGER) AS pos FROM frequency
 ),
@@ -69,29 +72,39 @@ filled AS (
 ),
 grid AS (
   SELECT CAST(c.range AS INTEGER) AS cluster, y.ycol
-  FROM range(30) c, (SELECT unnest({list(CHOICES)}) AS ycol) y
+  FROM range(30) c, (SELECT unnest({list(names)}) AS ycol) y
 ),
 totals AS (
   SELECT grid.cluster, grid.ycol, last, coalesce(tot_values, 0) AS tot_values, coalesce(tot_distinct, 0) AS tot_distinct
   FROM grid LEFT JOIN filled USING (cluster, ycol)
 )"""
 
-ACCURACY = f"""{RANKING},
-held_out AS (SELECT *, row_number() OVER () AS rid FROM b WHERE {TEST}),
-test AS ({_cells(CHOICES, "held_out", "rid, BOOKING_ID, CLUSTER AS cluster", name="ycol")}),
+
+def _accuracy(ranking, rows, test, choices=CHOICES, names=CHOICES):
+    """`ranking` and the tables long (a row per test row and choice), mean and hist."""
+    cells = _cells(choices, "held_out", "rid, BOOKING_ID, CLUSTER AS cluster", name="ycol")
+    for choice, name in zip(choices, names):
+        cells = cells.replace(f"'{choice}' AS ycol", f"'{name}' AS ycol")
+    return f"""{ranking},
+held_out AS (SELECT *, row_number() OVER () AS rid FROM {rows} WHERE {test}),
+test AS ({cells}),
 long AS (
   SELECT rid, BOOKING_ID, t.cluster, t.ycol, t.val, CAST(pos - 1 AS INTEGER) AS pos, last AS last_pos,
     coalesce(CAST(last - (pos - 1) AS DOUBLE) / CAST(last AS DOUBLE), 0.0) AS acc
   FROM test t LEFT JOIN ranking USING (cluster, ycol, val) LEFT JOIN totals USING (cluster, ycol)
 ),
 mean AS (
-  SELECT rid, sum(acc) AS tot_acc, sum(acc) / {len(CHOICES)} AS mean_acc FROM long GROUP BY rid
+  SELECT rid, sum(acc) AS tot_acc, sum(acc) / {len(choices)} AS mean_acc FROM long GROUP BY rid
 ),
 hist AS (
   SELECT ycol, coalesce(pos, last_pos) AS position FROM long WHERE coalesce(pos, last_pos) IS NOT NULL
 )"""
 
 
+FREQUENCY = RANKING = _ranking(BOOKINGS, "b", TRAIN)
+# One cluster is left out of the train rows here: its test rows have no ranking.
+ACCURACY = _accuracy(_ranking(BOOKINGS, "b", f"{TRAIN} AND CLUSTER <> 24"), "b", TEST)
+
 def _distribution(value):
     quantiles = ", ".join(f"round(quantile_cont({value}, {p / 100}), 6) AS p{p}" for p in range(0, 100, 10))
     return (
@@ -128,6 +141,92 @@ domain AS ({_cells(ROLES.validated, "b", where=TRAIN).replace("SELECT", "SELECT
 asked AS ({_cells(ROLES.validated, "requests", "rid, BOOKING_ID")}),
 bad AS (SELECT rid, BOOKING_ID, col, val FROM asked a WHERE NOT EXISTS (SELECT 1 FROM domain d WHERE d.col = a.col AND d.val = a.val))"""
 
+# The model of the separated bookings: its clusters are the districts, and with all components the PCA only rotates, so a
+# distance is that of the one-hot features: squares of the age's difference and of the shares of the centre's values, where
+# a row has one value of share p in every column: 1 - 2 p + sum of all shares' squares.
+_NAMES = [c.removeprefix("STRING_") for c in CHOICES]
+SEPARATED = f"""{RAW},
+s AS (
+  SELECT * REPLACE ({DAY_CODE} AS Y_GIORNI_ALLA_PRENOTAZIONE, CAST(X_ETA + 1000 * CAST(STRING_X_USL AS INTEGER) AS INTEGER) AS X_ETA,
+    CAST(STRING_X_USL AS INTEGER) AS CLUSTER) FROM raw
+)"""
+_CENTERS = f"""
+size AS (SELECT CLUSTER AS cluster, count(*)::DOUBLE AS n, avg(X_ETA) AS age FROM s WHERE {TRAIN} GROUP BY CLUSTER),
+train_cells AS ({_cells(ONE_HOT_RAW, "s", "CLUSTER AS cluster", TRAIN)}),
+share AS (SELECT cluster, col, val, count(*)::DOUBLE / any_value(n) AS p FROM train_cells JOIN size USING (cluster) GROUP BY cluster, col, val),
+square AS (SELECT cluster, sum(p * p) AS pp FROM share GROUP BY cluster)"""
+
+
+def _distances(rows):
+    """d2 of every row (rid, CLUSTER, X_ETA and the one-hot columns) of a table to the centre of its cluster."""
+    return f"""
+row_cells AS ({_cells(ONE_HOT_RAW, rows, "rid, CLUSTER AS cluster")}),
+row_share AS (SELECT rid, sum(coalesce(p, 0)) AS p FROM row_cells LEFT JOIN share USING (cluster, col, val) GROUP BY rid),
+distance AS (
+  SELECT rid, (X_ETA - age) * (X_ETA - age) + {len(ONE_HOT_RAW)}::DOUBLE + pp - 2 * p AS d2
+  FROM {rows} JOIN row_share USING (rid) JOIN size ON size.cluster = {rows}.CLUSTER JOIN square ON square.cluster = {rows}.CLUSTER
+)"""
+
+
+# Test rows as requests: an unknown post code in some of them, no age in others.
+_MODEL_REQUESTS = f"""
+asked AS (
+  SELECT * REPLACE (
+    CASE WHEN SPLIT_BUCKET % 7 = 0 THEN 'nowhere' ELSE STRING_X_CAP END AS STRING_X_CAP,
+    CASE WHEN SPLIT_BUCKET % 11 = 0 THEN NULL ELSE X_ETA END AS X_ETA
+  ), CAST(STRING_X_PRESCRITTORE AS BIGINT) AS request_id, row_number() OVER () AS rid FROM s WHERE {TEST}
+),
+valid AS (SELECT * FROM asked WHERE SPLIT_BUCKET % 7 <> 0 AND SPLIT_BUCKET % 11 <> 0)"""
+_SCORED = f"""{_accuracy(_ranking(f"{SEPARATED},{_CENTERS},{_MODEL_REQUESTS}", "s", TRAIN, CHOICES, _NAMES), "valid", "TRUE", CHOICES, _NAMES)
+    .replace("held_out AS (SELECT *, row_number() OVER () AS rid FROM valid WHERE TRUE)", "held_out AS (SELECT * FROM valid)")},
+{_distances("valid")},
+batch AS (SELECT request_id, sum(sqrt(d2)) AS total, sum(d2) AS request_wssse FROM distance JOIN valid USING (rid) GROUP BY request_id),
+measured AS (
+  SELECT rid, request_id, BOOKING_ID AS row_id, CLUSTER AS prediction, sqrt(d2) AS d, tot_acc, mean_acc, (total - sqrt(d2)) / nullif(total, 0) AS left_over, request_wssse
+  FROM valid JOIN distance USING (rid) JOIN mean USING (rid) JOIN batch USING (request_id)
+)"""
+_SCORED_ROWS = f"""WITH {_SCORED} SELECT m.request_id, m.row_id, any_value(m.prediction) AS prediction,
+  {", ".join(f"max(CASE WHEN ycol = '{c}' THEN {old} END) AS {new}_{c}" for c in _NAMES
+             for old, new in (("pos", "POS"), ("last_pos", "LAST_POS"), ("round(acc, 6)", "ACC"), ("round(acc * left_over, 6)", "ACC_NORM")))},
+  round(any_value(m.tot_acc), 6) AS tot_acc, round(any_value(m.mean_acc), 6) AS mean_acc,
+  round(any_value(m.mean_acc * left_over), 6) AS mean_acc_norm, round(any_value(d), 6) AS centerdistance,
+  round(any_value(m.request_wssse), 4) AS request_wssse
+  FROM measured m JOIN long USING (rid) GROUP BY rid, m.request_id, m.row_id"""
+_MICRO = "CAST(round({} * 10000) AS BIGINT)"
+_RESPONSES = f"""WITH {_SCORED},
+counts AS (
+  SELECT request_id, CAST(count(*) FILTER (SPLIT_BUCKET % 7 <> 0 AND SPLIT_BUCKET % 11 <> 0) AS BIGINT) AS n_valid,
+    CAST(count(*) FILTER (SPLIT_BUCKET % 7 = 0) AS BIGINT) AS n_rejected,
+    CAST(count(*) FILTER (SPLIT_BUCKET % 7 <> 0 AND SPLIT_BUCKET % 11 = 0) AS BIGINT) AS n_incomplete,
+    string_agg(CASE WHEN SPLIT_BUCKET % 7 = 0 THEN BOOKING_ID || '=STRING_X_CAP:' || STRING_X_CAP END, ';' ORDER BY BOOKING_ID) AS rejected,
+    string_agg(CASE WHEN SPLIT_BUCKET % 7 <> 0 AND SPLIT_BUCKET % 11 = 0 THEN BOOKING_ID END, ';' ORDER BY BOOKING_ID) AS incomplete
+  FROM asked GROUP BY request_id
+),
+entries AS (
+  SELECT request_id, any_value(request_wssse) AS request_wssse, string_agg(row_id || '=' || prediction || ':' || {_MICRO.format("mean_acc")} || ':'
+      || {_MICRO.format("mean_acc * left_over")} || ':' || {_MICRO.format("d")}, ';' ORDER BY row_id) AS accuracies
+  FROM measured GROUP BY request_id
+)
+SELECT request_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS parts, '1.0.0' AS version, 'OK' AS status, n_valid, n_rejected, n_incomplete,
+  round(request_wssse, 4) AS request_wssse, coalesce(accuracies, '') AS accuracies, coalesce(rejected, '') AS rejected, coalesce(incomplete, '') AS incomplete
+FROM counts LEFT JOIN entries USING (request_id)"""
+
+# Vectors in ten groups far apart, in two halves farther apart.
+_GROUPED = """
+points AS (
+  SELECT vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) + CASE WHEN i = label + 1 THEN 20.0::DOUBLE WHEN i = 21 AND label >= 5 THEN 200.0::DOUBLE ELSE 0.0::DOUBLE END) AS v,
+    CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '#1'), 1, 8) AS BIGINT) % 10000 < 9000 AS in_train
+  FROM embeddings
+),
+cells AS (SELECT vec_id, label, in_train, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM points)"""
+
+
+def _group_cost(k, group):
+    return f"""SELECT CAST({k} AS INTEGER) AS k, round(sum((x - c) * (x - c)) FILTER (in_train), 6) AS wssse_train,
+      round(sum((x - c) * (x - c)) FILTER (NOT in_train), 6) AS wssse_test
+      FROM cells JOIN (SELECT {group} AS g, i, avg(x) AS c FROM cells WHERE in_train GROUP BY ALL) m ON m.g = {group.replace("label", "cells.label")} AND m.i = cells.i"""
+
+
 _VECTORS = """
 points AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 cells AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM points),
@@ -216,6 +315,20 @@ SQL: dict[str, str] = {
         SELECT vec_id, request_id, round(d, 6) AS centerdistance, round(acc, 6) AS acc,
           round(acc * (total - d) / nullif(total, 0), 6) AS acc_norm, round(request_wssse, 6) AS request_wssse
         FROM scored JOIN batch USING (request_id)""",
+    "staged_run": f"""WITH {_accuracy(_ranking(SEPARATED, "s", TRAIN, CHOICES, _NAMES), "s", TEST, CHOICES, _NAMES)}
+        SELECT ycol, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (pos IS NULL) AS BIGINT) AS n_unranked,
+          round(avg(acc), 6) AS mean_acc, round(max(acc), 6) AS max_acc, round(min(acc), 6) AS min_acc FROM long GROUP BY ycol""",
+    "model_info": f"""WITH {SEPARATED}, {_CENTERS}, trained AS (SELECT *, row_number() OVER () AS rid FROM s WHERE {TRAIN}), {_distances("trained")},
+        width AS (SELECT 1 + count(*) AS w FROM (SELECT DISTINCT col, val FROM ({_cells(ONE_HOT_RAW, "s")})))
+        SELECT CAST(5 AS BIGINT) AS num_custer, CAST(5 AS BIGINT) AS centers, CAST(w AS BIGINT) AS tot_col, CAST(w AS BIGINT) AS k_pca,
+          round(sum(d2), 3) AS wssse_train FROM distance, width GROUP BY w""",
+    "score_requests": _SCORED_ROWS,
+    "score_requests_stream": _SCORED_ROWS,
+    "score_responses": _RESPONSES,
+    "kmeans_fit_assign": f"""WITH {_GROUPED}, means AS (SELECT label, i, avg(x) AS c FROM cells GROUP BY ALL),
+        named AS (SELECT label, CAST(row_number() OVER (ORDER BY list(round(c, 9) ORDER BY i)) - 1 AS INTEGER) AS prediction FROM means GROUP BY label)
+        SELECT vec_id, prediction FROM points JOIN named USING (label)""",
+    "kmeans_sweep": f"WITH {_GROUPED} {_group_cost(2, 'label // 5')} UNION ALL {_group_cost(10, 'label')}",
     "pca_full_norms": f"WITH {_VECTORS} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM points",
     "staged_run_totals": f"""WITH {RAW}, counts AS (
           SELECT CAST(count(*) FILTER (SPLIT_BUCKET < 9000) AS BIGINT) AS n_train,

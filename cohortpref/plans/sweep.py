@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortpref.operators.cluster import fit_kmeans, model_wssse
@@ -41,3 +41,9 @@ def kmeans_sweep(
 def write_sweep(sweep: DataFrame, path: str) -> None:
     named = [F.col(c).alias(h) for c, h in zip(("k", "wssse_train", "wssse_test"), SWEEP_HEADER)]
     write_csv(sweep.select(*named), path)
+
+
+def read_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `write_sweep` has written."""
+    rows = spark.read.csv(path, header=True, schema="k int, wssse_train double, wssse_test double", enforceSchema=True)
+    return rows.select("k", "wssse_train", "wssse_test")

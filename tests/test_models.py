@@ -1,3 +1,6 @@
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -6,13 +9,16 @@ from pyspark.sql import functions as F
 from cohortpref.plans import catalog
 from cohortpref.functions.vectors import nearest_rows
 from cohortpref.operators.cluster import assign_nearest, fit_kmeans, fit_pca, model_centers, model_wssse, pca_components
-from cohortpref.operators.scoring import load_model, normalize_by_request, response_rows, score_requests
+from cohortpref.operators.canonical import component_signs, fit_signed_pca, number_centers, renumber
+from cohortpref.operators.numbering import number_rows
+from cohortpref.operators.responses import request_responses
+from cohortpref.operators.scoring import load_model, normalize_by_request, score_requests
 from cohortpref.plans.bookings import bookings
 from cohortpref.plans.stages import run, sweep_run
 from cohortpref.plans.sweep import kmeans_sweep, write_sweep
 from cohortpref.config import ColumnRoles, RunSettings
 from cohortpref.session import snapshot, work_path
-from cohortpref.streaming.requests import read_request_stream, score_stream
+from cohortpref.streaming.requests import StreamOutputs, gather_requests, read_request_stream, score_stream, start_stream
 
 ROLES = ColumnRoles()
 NORMALIZED = ["mean_acc_norm", "ACC_NORM_Y_STER", "ACC_NORM_Y_UE"]
@@ -163,19 +169,96 @@ def test_scored_requests_and_the_stream_agree(spark, sf_dir, full_run, tmp_path)
         F.count("*").alias("n"), F.sum(1 - F.col("mean_acc_norm") / F.col("mean_acc")).alias("share")
     )
     assert all(r.share == pytest.approx(1.0) for r in sums.where("share IS NOT NULL").collect())
-    assert response_rows(scored, ROLES.x[:1], ROLES.y).count() == scored.count()
 
+    # Whole responses: small parts of large requests hold every row once.
+    for part_rows in (10_000, 7):
+        parts = request_responses(scored, rejected, incomplete, ROLES.y, ROLES.columns, part_rows=part_rows).collect()
+        counts = {(r.n_valid, r.n_rejected, r.n_incomplete) for r in parts}
+        found = [sorted(e.row_id for r in parts for e in r[kind]) for kind in ("accuracies", "rejected", "incomplete")]
+        assert found == [sorted(r.row_id for r in rows.select("row_id").collect()) for rows in (scored, rejected, incomplete)]
+        assert all(list(e) == sorted(e) for r in parts for e in [[x.row_id for x in r.accuracies]])
+        assert max(r.parts for r in parts) == (1 if part_rows == 10_000 else -(-max(sum(c) for c in counts) // 7))
+        assert len({(r.request_id, r.part) for r in parts}) == len(parts)
+    one = next(r for r in parts if r.rejected).rejected[0]
+    assert one.rejected_cols == [("STRING_X_CAP", "nowhere")] and one.row.STRING_X_CAP == "nowhere"
+
+    # The same rows as a stream: every request in three files, the second one repeated.
     base = str(tmp_path)
-    incoming.coalesce(1).write.json(f"{base}/in")
-    stream = read_request_stream(spark, f"{base}/in", model, files_per_batch=1)
-    query = score_stream(stream, model, f"{base}/scored", f"{base}/rejected", f"{base}/checkpoint", f"{base}/incomplete")
-    query.awaitTermination(300)
+    sizes = incoming.groupBy("request_id").agg(F.count("*").alias("request_rows"))
+    arriving = snapshot(incoming.join(sizes, "request_id"), "arriving")
+    for file in (0, 1, 1, 2):
+        arriving.where(F.crc32("row_id") % 3 == file).coalesce(1).write.mode("append").json(f"{base}/in")
+    stream = gather_requests(read_request_stream(spark, f"{base}/in", model, files_per_batch=2))
+    outputs = StreamOutputs(*[f"{base}/{name}" for name in ("scored", "rejected", "incomplete", "unfinished")])
+    assert score_stream(stream, model, outputs, f"{base}/checkpoint").awaitTermination(300)
     key = ["row_id", "prediction", "mean_acc"]
     batch = sorted(map(str, scored.select(*key, *[F.round(c, 9) for c in NORMALIZED]).collect()))
-    streamed = spark.read.parquet(f"{base}/scored").select(*key, *[F.round(c, 9) for c in NORMALIZED])
+    streamed = spark.read.parquet(outputs.scored).select(*key, *[F.round(c, 9) for c in NORMALIZED])
     assert sorted(map(str, streamed.collect())) == batch
-    assert spark.read.parquet(f"{base}/rejected").count() == n_bad
-    assert spark.read.parquet(f"{base}/incomplete").count() == n_incomplete
+    assert spark.read.parquet(outputs.rejected).count() == n_bad
+    assert spark.read.parquet(outputs.incomplete).count() == n_incomplete
+
+
+def gathered(spark, base, files, hold_ms, wait=0):
+    """(request, row, complete) per micro-batch of files given as lists of (request_id, row_id, request_rows)."""
+    schema = "request_id long, row_id string, request_rows long, amount double"
+    out = []
+    os.mkdir(f"{base}/in")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    stream = gather_requests(rows, hold_ms=hold_ms)
+    for file in files:
+        spark.createDataFrame([(*r, 1.5) for r in file], schema).coalesce(1).write.mode("append").json(f"{base}/in")
+        time.sleep(wait)
+        batches = []
+        write = lambda batch, number: batches.append([(r.request_id, r.row_id, r.complete, r.amount) for r in batch.collect()])  # noqa: E731, B023
+        assert start_stream(stream, write, f"{base}/checkpoint").awaitTermination(60)
+        out.append(sorted(x[:3] for b in batches for x in b))
+        assert all(x[3] == 1.5 for b in batches for x in b)
+    return out
+
+
+def test_a_request_is_held_until_it_is_whole(spark, tmp_path):
+    """Over restarts of the query, with repeated rows, several requests in a file, and rows that cannot be held."""
+    files = [
+        [(1, "a", 3), (2, "x", 1)], [(1, "b", 3), (1, "a", 3)], [(1, "c", 3), (3, "n", None)], [(None, "m", 1), (None, "m", 1), (4, "p", 2)],
+    ]
+    assert gathered(spark, str(tmp_path), files, 10**7) == [
+        [(2, "x", True)], [], [(1, "a", True), (1, "b", True), (1, "c", True), (3, "n", False)], [(None, "m", False), (None, "m", False)],
+    ]
+
+
+def test_an_unfinished_request_comes_out_after_its_time(spark, tmp_path):
+    files = [[(1, "a", 2)], [(5, "z", 1)], [(1, "b", 2)], [(6, "z", 1)]]
+    found = gathered(spark, str(tmp_path), files, 1, wait=1)
+    rows = [r for batch in found for r in batch]
+    assert sorted(rows) == [(1, "a", False), (1, "b", False), (5, "z", True), (6, "z", True)]
+
+
+def test_fits_do_not_depend_on_partitioning(spark, points):
+    features = snapshot(points.withColumn("features", array_to_vector("v")), "features")
+    models = [fit_signed_pca(features.repartition(n), 6, "features", "pca_features") for n in (1, 7)]
+    assert np.allclose(models[0].loadings, models[1].loadings, atol=1e-9)
+    largest = np.abs(models[0].loadings).argmax(axis=0)
+    assert (models[0].loadings[largest, range(6)] > 0).all()
+    projected = [np.array([r.pca_features.toArray() for r in m.transform(features).orderBy("vec_id").collect()]) for m in models]
+    assert np.allclose(*projected, atol=1e-9)
+    assert component_signs(np.array([[0.5, -0.5], [-0.5, 0.5]])).tolist() == [1.0, -1.0]
+
+
+def test_numbers_of_centres(spark):
+    centers = snapshot(spark.createDataFrame([(0, [2.0, 1.0]), (1, [1.0, 9.0]), (2, [2.0, -0.0]), (3, [1.0, 9.0])], "cluster int, center array<double>"), "centers")
+    table = number_centers(centers)
+    assert [(r.cluster, r.fitted) for r in table.orderBy("cluster").collect()] == [(0, 1), (1, 3), (2, 2), (3, 0)]
+    rows = spark.createDataFrame([(0,), (2,), (None,)], "prediction int")
+    assert sorted(str(r.prediction) for r in renumber(rows, "prediction", snapshot(table, "table")).collect()) == ["2", "3", "None"]
+
+
+def test_numbering_over_ranges_equals_that_of_one_task(spark):
+    rows = snapshot(spark.range(500).select((F.col("id") * 37 % 101).alias("a"), "id"), "rows")
+    order = [F.desc("a"), F.asc("id")]
+    one = sorted(map(tuple, number_rows(rows, order, "n").collect()))
+    assert sorted(map(tuple, number_rows(rows, order, "n", single_task_rows=40).collect())) == one
+    assert sorted(r[2] for r in one) == list(range(500))
 
 
 @pytest.mark.parametrize("name", ["pca_fit_project", "pca_variance"])
