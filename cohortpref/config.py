@@ -120,8 +120,14 @@ class RunSettings:
     seed: int = 1
     split_key: tuple[str, ...] = ()
     scale_features: bool = False
+    # More clusters than this are fitted in rounds over a table of centres instead of by `pyspark.ml`.
+    table_k: int = 20_000
     roles: ColumnRoles = field(default_factory=ColumnRoles)
 
+    @property
+    def centers_as_table(self) -> bool:
+        return self.k > self.table_k
+
     @property
     def paths(self) -> "ArtefactPaths":
         return ArtefactPaths(self.base, self.pca_perc, self.k)

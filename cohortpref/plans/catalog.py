@@ -20,7 +20,7 @@ from cohortpref.operators.accuracy import (
     position_stats,
     scored_steps,
 )
-from cohortpref.operators.canonical import number_centers, renumber
+from cohortpref.operators.canonical import fit_signed_pca, number_centers, renumber
 from cohortpref.operators.clean import clean_bookings, drop_incomplete, without_columns
 from cohortpref.operators.cluster import (
     assign_nearest,
@@ -44,6 +44,7 @@ from cohortpref.operators.encode import (
     value_index,
     vector_width,
 )
+from cohortpref.operators.lloyd import assign_in_cells, lloyd
 from cohortpref.operators.ranking import choice_frequency, fit_preferences, rank_choices, ranking_totals
 from cohortpref.operators.reports import cluster_distincts, cluster_sizes
 from cohortpref.operators.responses import request_responses
@@ -434,6 +435,31 @@ def kmeans_fit_assign(spark, sf_dir):
     return renumber(model.transform(features), "prediction", centers).select("vec_id", "prediction")
 
 
+@query
+def kmeans_rounds(spark, sf_dir):
+    """Centres after three rounds from the first ten vectors, the centres met in cells."""
+    points = snapshot(vectors(spark, sf_dir), "points")
+    start = points.where(F.col("vec_id") < 10).select(F.col("vec_id").cast("int").alias("cluster"), F.col("v").alias("center"))
+    fitted = lloyd(points, "vec_id", "v", start, rounds=3, tolerance=0.0, limit=0, cells=4)
+    return rounded(fitted.centers.select("cluster", "n", F.posexplode("center").alias("i", "x")), "x")
+
+
+@query
+def nearest_center_in_cells(spark, sf_dir):
+    points = vectors(spark, sf_dir)
+    centers = snapshot(center_table(points, "label", "v"), "centers")
+    return rounded(assign_in_cells(points, "vec_id", "v", centers), "d2")
+
+
+@query
+def pca_leading_projection(spark, sf_dir):
+    """Every vector on the first component, whose sign follows the rule, and the share of variance it explains."""
+    features = snapshot(_grouped(spark, sf_dir).withColumnRenamed("pca_features", "features"), "features")
+    model = fit_signed_pca(features, 2)
+    projected = model.transform(features).select("vec_id", vector_to_array("pca_features")[0].alias("p0"))
+    return rounded(projected.withColumn("share", F.lit(model.explained_variance[0])), "p0", "share")
+
+
 @query
 def pca_full_norms(spark, sf_dir):
     """Squared length of every vector in the space of all components; a PCA that keeps them all only rotates."""

@@ -227,6 +227,37 @@ def _group_cost(k, group):
       FROM cells JOIN (SELECT {group} AS g, i, avg(x) AS c FROM cells WHERE in_train GROUP BY ALL) m ON m.g = {group.replace("label", "cells.label")} AND m.i = cells.i"""
 
 
+def _power_iteration(steps=12):
+    """The first principal component of the vectors `cells`: covariance, then repeated products from a vector of ones."""
+    out = """,
+m AS (SELECT i, avg(x) AS m FROM cells GROUP BY i),
+off AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM cells JOIN m USING (i)),
+cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS c FROM off a JOIN off b USING (vec_id) GROUP BY ALL),
+u0 AS (SELECT DISTINCT i, 1.0::DOUBLE AS u FROM cov)"""
+    for n in range(steps):
+        out += f""",
+y{n} AS (SELECT cov.i, sum(c * u) AS y FROM cov JOIN u{n} ON u{n}.i = cov.j GROUP BY cov.i),
+u{n + 1} AS MATERIALIZED (SELECT i, y / sqrt(sum(y * y) OVER ()) AS u, sqrt(sum(y * y) OVER ()) AS length FROM y{n})"""
+    return out + f""",
+first_component AS (SELECT i, u * sign(first(u) OVER (ORDER BY round(abs(u), 9) DESC, i)) AS u, length FROM u{steps})"""
+
+
+def _lloyd_rounds(rounds):
+    out = "c0 AS (SELECT CAST(vec_id AS INTEGER) AS cluster, v AS center FROM points WHERE vec_id < 10)"
+    for n in range(rounds):
+        out += f""",
+a{n} AS MATERIALIZED (
+  SELECT vec_id, v, cluster FROM points, c{n}
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cluster) = 1
+),
+s{n} AS (SELECT cluster, i, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(l.center, c.center) AS center, coalesce(l.n, 0) AS n FROM c{n} c LEFT JOIN
+    (SELECT cluster, list(x ORDER BY i) AS center, any_value(k.n) AS n FROM s{n} JOIN (SELECT cluster, count(*) AS n FROM a{n} GROUP BY cluster) k USING (cluster) GROUP BY cluster) l USING (cluster)
+)"""
+    return out
+
+
 _VECTORS = """
 points AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 cells AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM points),
@@ -329,6 +360,12 @@ SQL: dict[str, str] = {
         named AS (SELECT label, CAST(row_number() OVER (ORDER BY list(round(c, 9) ORDER BY i)) - 1 AS INTEGER) AS prediction FROM means GROUP BY label)
         SELECT vec_id, prediction FROM points JOIN named USING (label)""",
     "kmeans_sweep": f"WITH {_GROUPED} {_group_cost(2, 'label // 5')} UNION ALL {_group_cost(10, 'label')}",
+    "kmeans_rounds": f"""WITH points AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {_lloyd_rounds(3)}
+        SELECT cluster, CAST(n AS BIGINT) AS n, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x
+        FROM (SELECT cluster, n, unnest(center) AS x, generate_subscripts(center, 1) AS i FROM c3)""",
+    "nearest_center_in_cells": f"WITH {_VECTORS} SELECT vec_id, cluster, round(d2, 6) AS d2 FROM nearest",
+    "pca_leading_projection": f"""WITH {_GROUPED}{_power_iteration()}, trace AS (SELECT sum(c) AS t FROM cov WHERE i = j)
+        SELECT vec_id, round(sum(x * u), 6) AS p0, round(any_value(length) / any_value(t), 6) AS share FROM cells JOIN first_component USING (i), trace GROUP BY vec_id""",
     "pca_full_norms": f"WITH {_VECTORS} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM points",
     "staged_run_totals": f"""WITH {RAW}, counts AS (
           SELECT CAST(count(*) FILTER (SPLIT_BUCKET < 9000) AS BIGINT) AS n_train,
