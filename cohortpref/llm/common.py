@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 # Entries a worker keeps of its word -> hash table before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 # xxhash with another seed for every use, so that the uses are independent.
 WORD_SEED = 11
 

@@ -129,10 +129,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         last, held = object(), None
         for batch in batches:
             keep = []
-            for text_center, text_doc in zip(batch.column("text_center").to_pylist(), batch.column("text_doc").to_pylist()):
+            # One text at a time as a Python string: a batch of both columns may hold 64 MB of text.
+            for center, doc in zip(batch.column("text_center"), batch.column("text_doc")):
+                text_center = center.as_py()
                 if text_center != last:  # rows of one centre mostly follow one another
                     last, held = text_center, shingles(text_center, width)
-                other = shingles(text_doc, width)
+                other = shingles(doc.as_py(), width)
                 shared = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(bool(len(other)) and bool(_enough(shared, len(held), len(other), percent)))
             yield pa.RecordBatch.from_arrays([batch.column("center"), batch.column("doc")], names=["center", "doc"]).filter(pa.array(keep, pa.bool_()))

@@ -41,7 +41,7 @@ SEGMENT = 400_000
 SENTENCE_PENALTY = 2.0
 MIDDLE_PENALTY = 64.0
 PARTITION_BYTES = 24 << 20
-CACHE = 600_000
+CACHE = 250_000
 CHUNK_BYTES = 8 << 20  # of text encoded at a time
 APOSTROPHE_OR_DIGIT = re.compile(r"['0-9]")
 # Texts of Latin-1 characters, without the few that count as numbers or odd white space, are cut by vectorised string

@@ -33,7 +33,7 @@ STEPS = 300
 THRESHOLD = 0.3
 SEED = 23
 TOKEN = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 120_000
 
 # Terms of one kind stand for one another in the swaps.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch.column("toxic").cast(pa.int32())], names=["slots", "toxic"])
 
     sample = rows.select("text", "toxic").mapInArrow(features, "slots binary, toxic int").toPandas()
-    sample = sample.sort_values(["slots", "toxic"]).reset_index(drop=True)  # the fit does not depend on row order
+    sample = sample.sort_values(["slots", "toxic"])  # the fit does not depend on row order
     return train([np.frombuffer(b, np.int32) for b in sample["slots"]], sample["toxic"].to_numpy(float))
 
 
