@@ -105,18 +105,26 @@ def train(documents: list[np.ndarray], toxic: np.ndarray) -> ToxicityModel:
     if n == 0 or toxic.max() == toxic.min():
         rate = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6)) if n else 1e-9
         return ToxicityModel(weights, float(np.log(rate / (1 - rate))))
-    row = np.repeat(np.arange(n), [len(d) for d in documents])
-    col = np.concatenate(documents).astype(np.int64)
-    frequent = np.bincount(col, minlength=SLOTS) >= MIN_DOCS
+    sizes = np.array([len(d) for d in documents], np.int64)
+    col = np.concatenate(documents)
+    del documents
+    met = np.bincount(col, minlength=SLOTS)
+    frequent = met >= MIN_DOCS
     swaps = swap_table()
     terms = np.array(sorted(swaps), np.int64)
-    frequent[terms] = True
-    row, col = row[frequent[col]], col[frequent[col]]
-    active, col = np.unique(col, return_inverse=True)
+    frequent[terms] = met[terms] > 0
+    # Only slots with a weight stay, under new numbers; `sizes` counts them per document.
+    kept = frequent[col]
+    sizes = np.bincount(np.repeat(np.arange(n, dtype=np.int32), sizes)[kept], minlength=n)
+    active = np.flatnonzero(frequent)
+    number = np.zeros(SLOTS, np.int64)
+    number[active] = np.arange(len(active))
+    col = number[col[kept]]
+    del kept
     size = len(active)
     place = {int(s): i for i, s in enumerate(active)}
     # One row of the swap matrix per mention: +1 at the term, -1 at the term it is swapped for (if that has a weight).
-    mention = np.isin(active[col], terms)
+    mention = np.isin(active, terms)[col]
     plus = col[mention]
     minus = np.array([place.get(swaps[int(active[c])], -1) for c in plus], np.int64)
     w, look, intercept, look_b, momentum = np.zeros(size), np.zeros(size), 0.0, 0.0, 1.0
@@ -125,18 +133,17 @@ def train(documents: list[np.ndarray], toxic: np.ndarray) -> ToxicityModel:
     # Words are scaled by how much they vary, so that one step size suits rare and common ones.
     share = np.bincount(col, minlength=size) / n
     scale = 1 / np.sqrt(np.maximum(share, MIN_DOCS / n))
-    value = scale[col]
     # Curvature of the loss, and a bound on that of the penalty: largest row sum times largest column sum of its matrix.
-    curvature = _largest(row, col, value, n, size) / 4
+    curvature = _largest(col, sizes, scale) / 4
     if len(plus):
         other = np.where(minus >= 0, scale[minus], 0.0)
         columns = np.bincount(plus, weights=scale[plus], minlength=size) + np.bincount(np.maximum(minus, 0), weights=other, minlength=size)
         curvature += 2 * SWAP_PENALTY / n * float((scale[plus] + other).max() * columns.max())
     step = 1.0 / curvature
     for _ in range(STEPS):
-        margin = np.bincount(row, weights=value * look[col], minlength=n) + look_b
+        margin = _sums(scale * look, col, sizes) + look_b
         residual = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - toxic
-        gradient = np.bincount(col, weights=value * residual[row], minlength=size) / n
+        gradient = scale * np.bincount(col, weights=np.repeat(residual, sizes), minlength=size) / n
         if len(plus):
             there = minus >= 0
             change = scale[plus] * look[plus] - np.where(there, scale[minus] * look[minus], 0.0)
@@ -154,12 +161,22 @@ def train(documents: list[np.ndarray], toxic: np.ndarray) -> ToxicityModel:
     return ToxicityModel(weights, float(intercept))
 
 
-def _largest(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, size: int) -> float:
+def _sums(weights: np.ndarray, col: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of the weights of every document, whose slots lie one document after the other in `col`."""
+    out = np.zeros(len(sizes))
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(weights[col], (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def _largest(col: np.ndarray, sizes: np.ndarray, scale: np.ndarray) -> float:
     """Largest eigenvalue of X'X/n with the intercept's column, by power iteration from a fixed start."""
+    n, size = len(sizes), len(scale)
     v, b, norm = np.full(size, 1 / np.sqrt(size + 1)), 1 / np.sqrt(size + 1), 1.0
     for _ in range(25):
-        u = np.bincount(row, weights=value * v[col], minlength=n) + b
-        v, b = np.bincount(col, weights=value * u[row], minlength=size) / n, u.mean()
+        u = _sums(scale * v, col, sizes) + b
+        v, b = scale * np.bincount(col, weights=np.repeat(u, sizes), minlength=size) / n, u.mean()
         norm = np.sqrt((v * v).sum() + b * b)
         v, b = v / norm, b / norm
     return float(norm) * 1.1
