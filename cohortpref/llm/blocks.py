@@ -124,10 +124,10 @@ def repeated_keys(keys: np.ndarray, own: np.ndarray, totals: np.ndarray) -> byte
 
 
 def total_counts(keys: np.ndarray, own: np.ndarray, totals: np.ndarray) -> bytes:
-    """An answer: the total of every key, in order, as byte planes."""
-    return np.ascontiguousarray(totals.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """An answer: the total of every key, in order, as byte planes of 64 bits; the upper ones compress away."""
+    return np.ascontiguousarray(totals.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def counts_from_bytes(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortpref.llm import byte_views, collocations, importance, piece_encoding
+from cohortpref.llm import blocks, byte_views, collocations, importance, piece_encoding
 from cohortpref.llm.queries import QUERIES, tokenizer_path
 
 LONG = " ".join(f"word{i % 700}" for i in range(6000))
@@ -53,6 +53,12 @@ def test_flat_and_runs_of_sliced_arrays():
     assert [b.num_rows for b in byte_views.bounded(iter([batch]), "x", 4)] == [2, 1, 1, 1]
 
 
+def test_totals_of_blocks_have_64_bits():
+    totals = np.array([1, 5_000_000_000, 1 << 52, 0], np.int64)
+    assert blocks.counts_from_bytes(blocks.total_counts(totals, totals, totals)).tolist() == totals.tolist()
+    assert blocks.counts_from_bytes(b"").tolist() == []
+
+
 # 11
 
 
