@@ -93,8 +93,9 @@ def ask(blocks: Blocks, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]
     return blocks.rows.groupBy("__block").applyInArrow(run, ASK)
 
 
-def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes]) -> DataFrame:
-    """`respond(keys, own counts, total counts)` gives the answer for one block's keys of one part."""
+def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes], parts: int) -> DataFrame:
+    """`respond(keys, own counts, total counts)` gives the answer for one block's keys of one part. The parts are dealt into
+    as many partitions, so that a task's share does not grow with the data."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [keys_from_bytes(b) for b in pdf["keys"]]
@@ -105,7 +106,7 @@ def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarra
         found = [respond(k, c, totals[inverse[e - len(k) : e]]) for k, c, e in zip(keys, counts, ends)]
         return pd.DataFrame({"__block": pdf["__block"], "__part": pdf["__part"], "answer": found})
 
-    return asks.groupBy("__part").applyInPandas(run, ANSWER)
+    return asks.repartition(parts, "__part").groupBy("__part").applyInPandas(run, ANSWER)
 
 
 def meet(blocks: Blocks, answers: DataFrame, finish: Callable[[pa.Table, list[bytes]], pa.Table], schema) -> DataFrame:

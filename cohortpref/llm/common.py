@@ -70,6 +70,25 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+class Aside:
+    """The columns of `docs` under names that no operator uses, so that no column of the caller can clash.
+
+    `rows` has the columns `needed` under their own names and the others as __k0, __k1, ... by their place; `keep` (default:
+    all) names those that are carried. `back` gives a result its kept columns again, in the order of `keep`, then
+    `made`, the columns of the result. A kept column that is named like one of `made` gives way to it."""
+
+    def __init__(self, docs: DataFrame, needed: tuple[str, ...], keep: tuple[str, ...] | None = None, made: tuple[str, ...] = ()):
+        kept = tuple(c for c in (docs.columns if keep is None else keep) if c not in made)
+        self.names = {c: c if c in needed else f"__k{i}" for i, c in enumerate(docs.columns) if c in kept or c in needed}
+        renamed = docs.toDF(*[self.names.get(c, f"__k{i}") for i, c in enumerate(docs.columns)])
+        self.rows = renamed.select(*self.names.values())
+        self.keep = tuple(self.names[c] for c in kept)
+        self.kept, self.made = kept, made
+
+    def back(self, result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(self.names[c]).alias(c) for c in self.kept], *self.made)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text (null: none) as a JVM expression."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

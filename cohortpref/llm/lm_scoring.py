@@ -1,19 +1,25 @@
 """LM scoring with a weighted backoff automaton.
 
-States are the contexts of the training text: the root (no context), the start of a text, and every training word.
-A state v has an arc for every word w seen after it, with probability (c(v w) + K p(w)) / (c(v) + K), and a failure arc
-to the root with weight K / (c(v) + K); the root has an arc for every training word, p(w) = (c(w) - D) / N, and one
-for any unknown word, D V / N. D is the discount n1 / (n1 + 2 n2) of the words seen once and twice. The probabilities of
-every state sum to 1 over the training words and one unknown word.
-
-A text is read from left to right: the state is the last word, or the root if that word is unknown; the arc of the next
-word, or the failure arc and the root's arc, adds its log10. As the state depends on one word only, a worker does this
-for all places of a block in a few vector operations. It does not hold the automaton: the block asks for the counts
-of its own distinct words and pairs (`blocks`), which are the states and arcs that its texts can reach. So the model
-grows with the corpus, no worker holds more than one block, and a hot word is one entry per block.
+The n-grams of the training text up to ORDER words become a table of states, arcs and failure arcs. A state is a context of
+at most ORDER - 1 words that occurs in training (the start of a text counts as a word); the root has none. A state h has an
+arc for every word w seen after it, with probability P(w | h) = (c(h w) + K P(w | h')) / (c(h) + K), where h' is h without
+its first word, and a failure arc to h' with weight K / (c(h) + K). The root has an arc for every training word,
+p(w) = (c(w) - D) / N, and one for any unknown word, D V / N. D is the discount n1 / (n1 + 2 n2) of the words seen once and
+twice. The probabilities of every state sum to 1 over the training words and one unknown word.
+
+A text is read once from left to right and the state is carried along: the next word's arc is taken where the state has
+it, otherwise the weight of the failure arc is added and the shorter context tried, down to the root. The next state is
+the longest known context that ends in the word: the n-gram just matched, without its first word if it has ORDER words.
+Texts are read in lanes, one step of all lanes at a time; a long text is cut into several lanes, each of which starts in the
+state that its place has in the table.
+
+A worker does not hold the automaton of the corpus: a block asks for the counts of its own distinct n-grams (`blocks`) and
+builds the states and arcs that its texts can reach. So the model grows with the corpus, no worker holds more than
+one block, and a hot n-gram is one entry per block.
 
 Results for odd input: a null or empty text is the end token alone; an empty training part makes every word unknown, with
-probability 1; rows with equal ids are separate; an empty table gives an empty table.
+probability 1; rows with equal ids are separate, repeated rows get equal scores; an empty table gives an empty table. Kept
+columns pass through, also ones named like a column used here; one named like a result gives way to the result.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortpref.llm.blocks import answer, ask, counts_from_bytes, deal, keys_from_bytes, keys_to_bytes, meet, total_counts
-from cohortpref.llm.common import WordHashes, mix, pieces, text_bytes, words_of
+from cohortpref.llm.common import Aside, WordHashes, mix, pieces, text_bytes, words_of
 
+ORDER = 3
 K = 50.0
 BASE = 0.1
 # Stand for the end and the start of a text; no word hashes are made equal to them but by chance of 2**-64.
@@ -37,6 +44,7 @@ END = np.uint64(0xE4D0000000000001)
 START = np.uint64(0x57A7000000000003)
 FLUSH_TOKENS = 1_500_000
 PART_BYTES = 24 << 20
+LANE = 1024  # words of a text that one lane reads
 
 _hashes = WordHashes()
 
@@ -47,7 +55,6 @@ class CorpusTotals:
     words: int  # V
     once: int
     twice: int
-    texts: int
 
     @property
     def discount(self) -> float:
@@ -98,21 +105,48 @@ def corpus_totals(docs: DataFrame, training: Column) -> CorpusTotals:
         sums = np.bincount(inverse, weights=counts, minlength=len(distinct))
         return pd.DataFrame({
             "n": [int(sums.sum())], "v": [len(distinct)], "n1": [int((sums == 1).sum())], "n2": [int((sums == 2).sum())],
-            "d": [int(sums[distinct == END].sum())],
         })
 
     rows = docs.where(training).select("text").mapInArrow(count, "part int, keys binary, counts binary")
-    sums = rows.groupBy("part").applyInPandas(add, "n long, v long, n1 long, n2 long, d long")
-    row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2", "d")]).first()
+    sums = rows.groupBy("part").applyInPandas(add, "n long, v long, n1 long, n2 long")
+    row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     return CorpusTotals(*row)
 
 
-def _keys(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Per place of the block (END included, START not) the key of its word and of the pair with the word before."""
+@dataclass(frozen=True)
+class Grams:
+    """The n-grams of a block: `distinct` holds their ascending keys, `at[j]` which of them the j words that end at a
+    place form (-1 where the text has not so many yet), `first` one place of every n-gram, `length` its words."""
+
+    starts: np.ndarray  # places of START
+    sizes: np.ndarray  # places of every text, START included
+    distinct: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    at: list[np.ndarray]
+
+
+def grams_of(tokens: list[np.ndarray], order: int) -> Grams:
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(tokens)
-    real = flat != START
-    pair = mix(np.concatenate([[np.uint64(0)], flat[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + mix(flat + np.uint64(0x632BE59BD9B4E019)))
-    return flat[real], pair[real]
+    depth = np.arange(len(flat)) - np.repeat(starts, sizes)  # words before a place in its text
+    last = mix(flat + np.uint64(0x632BE59BD9B4E019))
+    keys, places = [flat], [np.arange(len(flat))]
+    whole = flat
+    for j in range(2, order + 1):
+        whole = mix(np.concatenate([np.zeros(1, np.uint64), whole[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + last)
+        places.append(np.flatnonzero(depth >= j - 1))
+        keys.append(whole[places[-1]])
+    distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])
+    length = np.searchsorted(ends, first, "right") + 1
+    at: list[np.ndarray] = [np.empty(0, np.int32)]
+    for place, end in zip(places, ends):
+        ids = np.full(len(flat), -1, np.int32)
+        ids[place] = inverse[end - len(place) : end]
+        at.append(ids)
+    return Grams(starts, sizes, distinct, np.concatenate(places)[first], length, at)
 
 
 def root_probability(count: np.ndarray, totals: CorpusTotals) -> np.ndarray:
@@ -122,51 +156,105 @@ def root_probability(count: np.ndarray, totals: CorpusTotals) -> np.ndarray:
     return np.where(count > 0, count - d, d * totals.words) / totals.tokens
 
 
-def read_automaton(word: np.ndarray, pair: np.ndarray, before: np.ndarray, totals: CorpusTotals, k: float = K) -> np.ndarray:
-    """log10 of the step at every place, from the counts of its word, its pair, and the word before."""
-    root = root_probability(word, totals)
-    arc = np.log10((pair + k * root) / (before + k))
-    failure = np.log10(k / (before + k)) + np.log10(root)
-    return np.where(pair > 0, arc, failure)
-
-
-def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",), k: float = K) -> DataFrame:
+@dataclass(frozen=True)
+class Automaton:
+    """The states and arcs that the texts of a block can reach, one entry per n-gram of the block."""
+
+    known: np.ndarray  # seen in training: it is an arc of its context and, if short enough, a state
+    arc: np.ndarray  # log10 P(last word | the words before)
+    failure: np.ndarray  # log10 weight of the failure arc of the state
+
+
+def build_automaton(grams: Grams, counts: np.ndarray, totals: CorpusTotals, k: float) -> Automaton:
+    known = counts > 0
+    arc = np.log10(root_probability(counts, totals), out=np.zeros(len(counts)), where=grams.length == 1)
+    for j in range(2, len(grams.at)):
+        some = np.flatnonzero(known & (grams.length == j))
+        place = grams.first[some]
+        # The shorter n-gram is seen wherever the longer one is.
+        lower, context = grams.at[j - 1][place], grams.at[j - 1][place - 1]
+        arc[some] = np.log10((counts[some] + k * 10.0 ** arc[lower]) / (counts[context] + k))
+    return Automaton(known, arc, np.log10(k / (counts + k)))
+
+
+def traverse(grams: Grams, table: Automaton, lane: int = LANE) -> np.ndarray:
+    """log10 probability of every text. The state of a lane is its number of context words: with the place that names
+    its n-gram in the table, and 0 is the root."""
+    order = len(grams.at) - 1
+    words = grams.sizes - 1
+    lanes = -(-words // lane)
+    text = np.repeat(np.arange(len(words)), lanes)
+    part = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    begin = grams.starts[text] + part * lane  # the place before the lane's first word
+    steps = np.minimum(words[text] - part * lane, lane)
+    by_length = np.argsort(-steps, kind="stable")
+    text, begin, steps = text[by_length], begin[by_length], steps[by_length]
+    state = np.zeros(len(begin), np.int64)
+    for j in range(1, order):
+        here = grams.at[j][begin]
+        state[(here >= 0) & table.known[here]] = j
+    sums = np.zeros(len(begin))
+    active = np.searchsorted(-steps, -np.arange(1, steps[0] + 1), "right") if len(steps) else ()
+    for step, running in enumerate(active, 1):
+        place = begin[:running] + step
+        now, gained = state[:running], np.zeros(running)
+        open_ = np.ones(running, bool)
+        after = np.zeros(running, np.int64)
+        for j in range(order, 0, -1):
+            trying = np.flatnonzero(open_ & (now >= j - 1))
+            ids = grams.at[j][place[trying]]
+            hit = table.known[ids] if j > 1 else np.ones(len(ids), bool)  # the root has an arc for unknown words too
+            found, missed = trying[hit], trying[~hit]
+            gained[found] += table.arc[ids[hit]]
+            after[found] = np.where(table.known[ids[hit]], min(j, order - 1), 0)
+            open_[found] = False
+            if j > 1:
+                gained[missed] += table.failure[grams.at[j - 1][place[missed] - 1]]
+        state[:running] = after
+        sums[:running] += gained
+    return np.bincount(text, weights=sums, minlength=len(words))
+
+
+def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, k: float = K) -> DataFrame:
     """`keep`, n_tokens, n_known, train_tokens, base_score, score of every row; rows where `training` holds are learnt from."""
     totals = corpus_totals(docs, training)
-    carried = docs.withColumn("__training", training)
-    blocks = deal(carried, (*keep, "__training", *(["text"] if "text" not in keep else [])))
+    results = (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
+    learns = next(n for n in (f"learns{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    aside = Aside(docs.withColumn(learns, F.coalesce(training, F.lit(False))), ("doc_id", "text", learns), keep, tuple(name for name, _ in results))
+    keep = aside.keep
+    blocks = deal(aside.rows, tuple(dict.fromkeys([*keep, learns, "text"])))
 
-    def learnt(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        tokens = _tokens(v.as_py() for v in table.column("text"))
-        sizes = np.array([len(t) - 1 for t in tokens])
-        words, pairs = _keys(tokens)
-        distinct, inverse = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-        return sizes, words, distinct, inverse[: len(words)], inverse[len(words) :]
+    def learnt(table: pa.Table) -> Grams:
+        return grams_of(_tokens(v.as_py() for v in table.column("text")), order)
 
     def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        sizes, _, distinct, word_at, pair_at = learnt(table)
-        weight = np.repeat(np.array(table.column("__training").to_pylist(), float), sizes)
-        counts = np.bincount(word_at, weights=weight, minlength=len(distinct)) + np.bincount(pair_at, weights=weight, minlength=len(distinct))
-        return distinct, counts
-
-    schema = docs.select(*keep).schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
+        grams = learnt(table)
+        weight = np.repeat(np.array(table.column(learns).to_pylist(), float), grams.sizes)
+        counts = np.zeros(len(grams.distinct))
+        for ids in grams.at[1:]:
+            real = ids >= 0
+            counts += np.bincount(ids[real], weights=weight[real], minlength=len(counts))
+        return grams.distinct, counts
+
+    schema = aside.rows.select(*keep).schema
+    for name, kind in results:
         schema = schema.add(name, kind)
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
-        sizes, _, distinct, word_at, pair_at = learnt(table)
+        grams = learnt(table)
         counts = np.concatenate([counts_from_bytes(b) for b in answers])
-        assert len(counts) == len(distinct)
-        word, pair = counts[word_at], counts[pair_at]
+        assert len(counts) == len(grams.distinct)
+        scores = traverse(grams, build_automaton(grams, counts, totals, k))
+        real = np.ones(len(grams.at[1]), bool)
+        real[grams.starts] = False
+        word = counts[grams.at[1][real]]
+        sizes = grams.sizes - 1
         starts = np.cumsum(sizes) - sizes
-        before = np.concatenate([[0], word[:-1]])
-        before[starts] = totals.texts
-        steps = read_automaton(word, pair, before, totals, k)
         base = np.log10((word + BASE) / (totals.tokens + BASE * (totals.words + 1)))
         out = table.select(list(keep))
-        values = (sizes, np.add.reduceat((word > 0).astype(np.int64), starts), np.full(len(sizes), totals.tokens), np.add.reduceat(base, starts), np.add.reduceat(steps, starts))
-        for field, column in zip(schema.fields[len(keep) :], values):
-            out = out.append_column(field.name, pa.array(column, pa.int64() if field.dataType.typeName() == "long" else pa.float64()))
+        values = (sizes, np.add.reduceat((word > 0).astype(np.int64), starts), np.full(len(sizes), totals.tokens), np.add.reduceat(base, starts), scores)
+        for (name, kind), column in zip(results, values):
+            out = out.append_column(name, pa.array(column, pa.int64() if kind == "long" else pa.float64()))
         return out
 
-    return meet(blocks, answer(ask(blocks, keys), total_counts), finish, schema)
+    return aside.back(meet(blocks, answer(ask(blocks, keys), total_counts, blocks.count), finish, schema))

@@ -10,7 +10,7 @@ positions are formed, and a passage of a third of all documents is one entry per
 
 Results for odd input: a null or empty text has no words and an empty kept text; texts shorter than WIDTH stay; all copies
 of a repeated text lose their windows; rows with equal ids are separate documents; an empty table gives an empty table.
-Other columns pass through when asked for in `keep`.
+Other columns pass through when asked for in `keep`; one named like a result column gives way to the result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortpref.llm.blocks import ASK, answer, ask, asked, block_number, deal, meet, repeated_keys
-from cohortpref.llm.common import WordHashes, power_window_hashes, window_hashes, words_of
+from cohortpref.llm.common import Aside, WordHashes, power_window_hashes, window_hashes, words_of
 
 WIDTH = 35
 # A perfect difference set: its differences give every remainder modulo 21 but 0 exactly once.
@@ -91,8 +91,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width:
     """`keep`, n_words, n_removed and kept_text (the words left, joined by one space) of every row."""
     if width <= PERIOD:
         raise ValueError(f"the window must be wider than the period {PERIOD}")
-    carried = tuple(dict.fromkeys([*keep, "text"]))
-    blocks = deal(docs, carried)
+    aside = Aside(docs, ("doc_id", "text"), keep, ("n_words", "n_removed", "kept_text"))
+    docs, keep = aside.rows, aside.keep
+    blocks = deal(docs, tuple(dict.fromkeys([*keep, "text"])))
     parts = blocks.count
 
     def anchor_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -125,5 +126,5 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width:
             out = out.append_column(name, pa.array(column, kind))
         return out
 
-    windows = meet(blocks, answer(ask(blocks, anchor_keys), repeated_keys), window_keys, ASK)
-    return meet(blocks, answer(windows, repeated_keys), finish, schema)
+    windows = meet(blocks, answer(ask(blocks, anchor_keys), repeated_keys, parts), window_keys, ASK)
+    return aside.back(meet(blocks, answer(windows, repeated_keys, parts), finish, schema))
