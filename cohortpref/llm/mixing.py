@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortpref.llm.common import word_array
+from cohortpref.llm.common import Aside, word_array
 from cohortpref.session import snapshot
 
 WEIGHTS = (3, 1, 2)
@@ -128,9 +128,11 @@ def mix(docs: DataFrame, factor: float = FACTOR, cap: int = CAP, weights: tuple[
 def take(docs: DataFrame, factor: float = FACTOR, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of `docs`, with all their columns, each as often as `mix` takes it. A row's passes come from its own
     doc_id and source, so nothing is joined back by id."""
+    aside = Aside(docs, ("doc_id", "source", "text"))
+    docs = aside.rows
     _, per_source = _decided(docs, factor, cap, weights)
     plan = per_source.select(F.struct(*per_source.columns).alias("__plan"))
     joined = docs.join(F.broadcast(plan), _same_source(docs["source"], F.col("__plan.ts")))
     passes = _passes(doc_hash(F.col("doc_id")), lambda c: F.col(f"__plan.{c}"), cap)
     taken = joined.select(*docs.columns, passes.alias("__passes")).where("__passes > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__passes"))).alias("__pass")).select(*docs.columns)
+    return aside.back(taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__passes"))).alias("__pass")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortpref.llm.common import words_of
+from cohortpref.llm.common import Aside, words_of
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -129,7 +129,11 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and the counts of STATS, one row per row of `docs`, over the whole of its column `text`."""
+    """`keep` and the counts of STATS, one row per row of `docs`, over the whole of its column `text`. A kept column named
+    like a count gives way to it."""
+    aside = Aside(docs, ("text",), keep, STATS)
+    docs, keep = aside.rows, aside.keep
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_statistics(value.as_py()) for value in batch.column("text")]
@@ -140,7 +144,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     schema = docs.select(*keep).schema
     for name in STATS:
         schema = schema.add(name, "long")
-    return docs.select(*keep, "text").mapInArrow(count, schema)
+    return aside.back(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(count, schema))
 
 
 def base_failed() -> Column:

@@ -4,12 +4,13 @@ Features are the distinct words of a text (lower-cased, trimmed of punctuation),
 minimises the logistic loss with an L1 penalty plus, for every training text that mentions an identity term, the squared
 change of its score when that term is swapped for another group's term. A group mention alone therefore moves a score
 little, however the labels happen to be spread over groups. The fit runs on a bounded sample of labelled documents
-(FIT_ROWS, chosen by a hash of the id); scoring runs over all rows with the 2**18 weights, whose size does not depend
+(FIT_ROWS, chosen by a hash of id and text); scoring runs over all rows with the 2**18 weights, whose size does not depend
 on the data.
 
 Results for odd input: a null or empty text has no features and gets the score of the intercept; repeated rows get equal
 scores; an empty table gives an empty table; without labels every score is 0.0. Labels, language, source and id
-never enter a score. Extra columns are passed through by `score` when asked for in `keep`.
+never enter a score. Extra columns are passed through by `score` when asked for in `keep`; one
+named like the score gives way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortpref.llm.common import Aside
+
 SLOTS = 1 << 18
 FIT_ROWS = 24_000
 MIN_DOCS = 4  # a word must occur in so many documents of the sample to get a weight
@@ -81,11 +84,12 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learns `labels.toxic` (0 or 1) from at most about `fit_rows` of the labelled rows of `docs`."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    if total > fit_rows:
-        bucket = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000))
-        known = known.where(bucket < int(1_000_000 * fit_rows / total))
+    total = docs.select("doc_id").join(known, "doc_id").count()
     rows = docs.select("doc_id", "text").join(known, "doc_id")
+    if total > fit_rows:
+        # Rows are chosen, not ids: an id may have any number of rows. Equal rows count once.
+        bucket = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id", "text"), F.lit(1_000_000))
+        rows = rows.where(bucket < int(1_000_000 * fit_rows / total)).dropDuplicates(["doc_id", "text"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Slots()
@@ -184,6 +188,8 @@ def _largest(col: np.ndarray, sizes: np.ndarray, scale: np.ndarray) -> float:
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """`keep` and the score of every row of `docs`."""
+    aside = Aside(docs, ("text",), keep, (name,))
+    docs, keep = aside.rows, aside.keep
     spark = docs.sparkSession
     # 2**18 weights, most of them 0: the same size for any input.
     held = spark.sparkContext.broadcast((model.weights.astype(np.float64), model.intercept))
@@ -194,4 +200,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
             found = local.scores([t.as_py() for t in batch.column("__text")], table)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.float64())], names=[*keep, name])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, docs.select(*keep).schema.add(name, "double"))
+    return aside.back(docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, docs.select(*keep).schema.add(name, "double")))

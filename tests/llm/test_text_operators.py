@@ -214,35 +214,98 @@ def test_group_links_join_groups_only():
     assert len(links) == 2
 
 
+def brute_model(tokens, training, order):
+    """P(w | context) by the definition: back off word by word from the longest context seen in training."""
+    counts = Counter()
+    for t, known in zip(tokens, training):
+        if known:
+            padded = ["<s>", *t]
+            counts.update(tuple(padded[i - j : i]) for i in range(1, len(padded) + 1) for j in range(1, order + 1) if j <= i)
+    words = {g[0]: c for g, c in counts.items() if len(g) == 1 and g[0] != "<s>"}
+    n, v = sum(words.values()), len(words)
+    once, twice = (sum(c == k for c in words.values()) for k in (1, 2))
+    d, k = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5, lm_scoring.K
+
+    def step(context, w):
+        context = tuple(context)[-(order - 1) :] if order > 1 else ()
+        while context and not counts[context]:
+            context = context[1:]
+        if not context:
+            return (words[w] - d) / n if w in words else d * v / n
+        if counts[(*context, w)]:
+            return (counts[(*context, w)] + k * step(context[1:], w)) / (counts[context] + k)
+        return k / (counts[context] + k) * step(context[1:], w)
+
+    return words, step
+
+
 def test_lm_scoring(spark, sf_dir, docs):
     got = result(spark, sf_dir, "op5_lm_scoring")
     tokens = [[*words_of(t, lower=True), None] for t in docs.text]
     training = [zlib.crc32(str(i).encode()) % 10 != 0 for i in docs.doc_id]
-    counts = Counter(w for t, known in zip(tokens, training) if known for w in t)
-    pairs = Counter(p for t, known in zip(tokens, training) if known for p in zip(["<s>", *t], t))
+    counts, step = brute_model(tokens, training, lm_scoring.ORDER)
     n, v = sum(counts.values()), len(counts)
-    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
-    d, k = once / (once + 2 * twice), lm_scoring.K
-
-    def root(w):
-        return (counts[w] - d) / n if counts[w] else d * v / n
-
-    def step(before, w):
-        context = sum(training) if before == "<s>" else counts[before]
-        return (pairs[before, w] + k * root(w)) / (context + k)
-
     for doc_id, t, known in zip(docs.doc_id, tokens, training):
         row = got.loc[doc_id]
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        score = sum(math.log10(step(a, b)) for a, b in zip(["<s>", *t], t))
-        assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (not known, len(t), sum(counts[w] > 0 for w in t), n)
+        base = sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        score = sum(math.log10(step(["<s>", *t[:i]], w)) for i, w in enumerate(t))
+        assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (not known, len(t), sum(w in counts for w in t), n)
         assert row.base_score == pytest.approx(base) and row.score == pytest.approx(score)
     # A state's probabilities sum to 1 over the training words and one unknown word.
-    assert sum(step("the", w) for w in counts) + step("the", "never seen") == pytest.approx(1)
+    for state in ([], ["<s>"], tokens[0][:1], tokens[0][:2], ["<s>", tokens[1][0]], tokens[2][5:7], ["never seen", tokens[0][0]]):
+        assert sum(step(state, w) for w in counts) + step(state, "never seen") == pytest.approx(1)
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_lm_scoring_backs_off_over_several_levels(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.choice((0, 1, 2, 7, 40)))) for _ in range(60)]
+    texts += ["a b zz c d e", "zz", "zz zz a b c", "A B C D E", " ".join(rng.choice("abcdez") for _ in range(3000)), None]
+    training = [i % 4 != 0 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, training))], "doc_id long, text string, known boolean")
+    got = {r.doc_id: r for r in lm_scoring.score(rows, F.col("known"), order=order).collect()}
+    tokens = [[*words_of(t, lower=True), None] for t in texts]
+    _, step = brute_model(tokens, training, order)
+    for doc_id, t in enumerate(tokens):
+        want = sum(math.log10(step(["<s>", *t[:i]], w)) for i, w in enumerate(t))
+        assert got[doc_id].score == pytest.approx(want)
+
+
+def test_lm_traversal_does_not_depend_on_lanes():
+    rng = random.Random(3)
+    table = lm_scoring.WordHashes()
+    edge = (np.array([lm_scoring.START]), np.array([lm_scoring.END]))
+    tokens = [np.concatenate([edge[0], table.of([rng.choice([b"a", b"b", b"c"]) for _ in range(n)]), edge[1]]) for n in (0, 1, 5, 64, 500)]
+    grams = lm_scoring.grams_of(tokens, 3)
+    counts = np.array([rng.choice((0, 1, 3)) for _ in grams.distinct])
+    for j in (2, 3):  # counts of a real corpus: no n-gram is seen without its parts
+        for g in np.flatnonzero(grams.length == j):
+            at = grams.first[g]
+            counts[g] = min(counts[g], counts[grams.at[j - 1][at]], counts[grams.at[j - 1][at - 1]])
+    automaton = lm_scoring.build_automaton(grams, counts, lm_scoring.CorpusTotals(600, 4, 1, 1), 50.0)
+    whole = lm_scoring.traverse(grams, automaton, 10_000)
+    for lane in (1, 2, 7, 64):
+        assert lm_scoring.traverse(grams, automaton, lane) == pytest.approx(whole)
+
+
+def test_longer_contexts_predict_better(spark):
+    rng = random.Random(1)
+    # The next word follows from the two before it, hardly from one.
+    follow = {(a, b): rng.choice("abcdefgh") for a in "abcdefgh" for b in "abcdefgh"}
+    texts = []
+    for _ in range(300):
+        t = [rng.choice("abcdefgh"), rng.choice("abcdefgh")]
+        while len(t) < 100:
+            t.append(follow[t[-2], t[-1]] if rng.random() < 0.8 else rng.choice("abcdefgh"))
+        texts.append(" ".join(t))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = F.col("doc_id") % 10 == 0
+    total = {n: lm_scoring.score(rows, ~held, order=n).where(held).agg(F.sum("score")).first()[0] for n in (2, 3)}
+    assert total[3] > 0.8 * total[2] and total[3] > total[2]
+
+
 def test_url_filters_follow_redirects(spark):
     html = '<html><head><LINK href="https://bad.example.org/es/7" rel=canonical></head>'
     move = "<meta http-equiv='refresh' content='0; URL=/fr/start'>"
@@ -454,6 +517,63 @@ def test_odd_and_empty_tables(spark, odd, empty):
         assert substring_dedup.remove_repeats(docs).count() == n
 
 
+CLASHES = (
+    "gone", "n_removed", "n_words", "kept_text", "kept", "score", "toxicity", "passes", "size", "hash", "__score", "__text",
+    "__block", "__part", "__training", "learns0", "__passes", "__pass", "__plan", "ts", "__k0", "__k7", "a.b", "toxic", "n_lines",
+)
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("?"))).alias(c) for c in CLASHES])
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_carry_columns_named_like_their_own(spark, sf_dir, clashing, name, stage):
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    with_them, without = stage(spark, clashing, sf_dir), stage(spark, clashing.select(*plain), sf_dir)
+    if name == "packing":
+        assert Counter(map(tuple, with_them.collect())) == Counter(map(tuple, without.collect()))
+        return
+    assert with_them.columns == clashing.columns
+    got = with_them.collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(map(tuple, without.collect()))
+    texts = {"?" if r.text is None else r.text for r in clashing.select("text").collect()}
+    for row in got:
+        for c in CLASHES:
+            head, _, value = row[c].partition(":")
+            assert head == c and value in texts
+
+
+def test_operators_carry_columns_named_like_their_own(spark, clashing):
+    labels = spark.createDataFrame([(1, 1, 0), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    keep = ("doc_id", "text", *CLASHES)
+    model = toxicity.fit(clashing, labels)
+    made = {
+        "n_words n_removed kept_text": substring_dedup.remove_repeats(clashing, keep),
+        "n_tokens n_known train_tokens base_score score": lm_scoring.score(clashing, F.lit(True), keep),
+        "score": toxicity.score(clashing, model, keep),
+        " ".join(quality_rules.STATS): quality_rules.statistics(clashing, keep),
+    }
+    for names, out in made.items():
+        names = names.split()
+        assert out.columns == [*[c for c in keep if c not in names], *names]
+        rows = out.collect()
+        assert len(rows) == len(ODD)
+        for row in rows:
+            carried = "?" if row.text is None else row.text
+            assert all(row[c] == f"{c}:{carried}" for c in CLASHES if c not in names)
+
+
+def test_fit_samples_rows_of_one_id(spark):
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("idiot w"), (F.col("id") % 500).cast("string")).alias("text"))
+    clean = spark.range(20_000).select((F.col("id") + 2).alias("doc_id"), F.concat(F.lit("fine w"), (F.col("id") % 500).cast("string")).alias("text"))
+    labels = spark.range(1, 20_002).select(F.col("id").alias("doc_id"), (F.col("id") == 1).cast("int").alias("toxic"))
+    model = toxicity.fit(rows.unionByName(clean), labels, fit_rows=4000)
+    table = toxicity.Slots()
+    assert model.scores(["idiot w3"], table)[0] > model.scores(["fine w3"], table)[0]
+
+
 def test_pipeline(spark, sf_dir):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "substring_dedup", "mixing", "packing"]
