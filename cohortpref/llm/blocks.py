@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,15 +50,37 @@ def deal(docs: DataFrame, columns: Sequence[str]) -> Blocks:
     return Blocks(docs.select(block.alias("__block"), *columns).repartition(count, "__block"), count, chosen.schema)
 
 
+def numbers_to_bytes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: zero planes are left out, planes of few different bytes are compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    stored = [b""] * 8
+    for i, plane in enumerate(planes):
+        if plane.any():
+            raw = plane.tobytes()
+            stored[i] = min(raw, squeeze(raw), key=len)  # raw where they tie: a reader goes by the length
+    return b"".join([np.array([len(numbers), *map(len, stored)], "<u4").tobytes(), *stored])
+
+
+def numbers_from_bytes(blob: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(blob, "<u4", 9).tolist()
+    planes = np.zeros((8, n), np.uint8)
+    at, widen = 36, zstandard.ZstdDecompressor().decompress
+    for plane, size in zip(planes, sizes):
+        if size:
+            stored = blob[at : at + size]
+            plane[:] = np.frombuffer(stored if size == n else widen(stored), np.uint8)
+        at += size
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def keys_to_bytes(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, laid out byte plane by byte plane: the upper planes are zeros that compress away."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending keys as differences, whose upper bytes are zero or small."""
+    return numbers_to_bytes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def keys_from_bytes(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.add.accumulate(np.ascontiguousarray(planes.T).view("<u8").ravel())
+    return np.add.accumulate(numbers_from_bytes(blob))
 
 
 def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -66,16 +89,16 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]]).astype(np.int64)
 
 
-def asked(block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    """Rows of ASK for ascending distinct keys and what the block has of each."""
+def asked(block: int, keys: np.ndarray, counts: np.ndarray, parts: int, shift: int = 0) -> pa.Table:
+    """Rows of ASK for ascending distinct keys and what the block has of each. `shift` is added to the numbers of the
+    parts, so that the answers to a later question come after those to an earlier one."""
     at = _parts(keys, parts)
     full = np.flatnonzero(np.diff(at))
-    small = counts.astype("<u4")
     return pa.table({
         "__block": pa.array([block] * len(full), pa.int32()),
-        "__part": pa.array(full, pa.int32()),
+        "__part": pa.array(full + shift, pa.int32()),
         "keys": pa.array([keys_to_bytes(keys[at[p] : at[p + 1]]) for p in full], pa.binary()),
-        "counts": pa.array([small[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()),
+        "counts": pa.array([numbers_to_bytes(counts[at[p] : at[p + 1]]) for p in full], pa.binary()),
     })
 
 
@@ -93,17 +116,19 @@ def ask(blocks: Blocks, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]
     return blocks.rows.groupBy("__block").applyInArrow(run, ASK)
 
 
-def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes], parts: int) -> DataFrame:
-    """`respond(keys, own counts, total counts)` gives the answer for one block's keys of one part. The parts are dealt into
-    as many partitions, so that a task's share does not grow with the data."""
+def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bytes], parts: int) -> DataFrame:
+    """`respond(keys, own counts, total counts, numbers of blocks that have the key)` gives the answer for one block's keys
+    of one part. The parts are dealt into as many partitions, so that a task's share does not grow with the data."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [keys_from_bytes(b) for b in pdf["keys"]]
-        counts = [np.frombuffer(b, "<u4") for b in pdf["counts"]]
+        counts = [numbers_from_bytes(b) for b in pdf["counts"]]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+        holders = np.bincount(inverse, minlength=len(distinct))
         ends = np.cumsum([len(k) for k in keys])
-        found = [respond(k, c, totals[inverse[e - len(k) : e]]) for k, c, e in zip(keys, counts, ends)]
+        places = [inverse[e - len(k) : e] for k, e in zip(keys, ends)]
+        found = [respond(k, c, totals[at], holders[at]) for k, c, at in zip(keys, counts, places)]
         return pd.DataFrame({"__block": pdf["__block"], "__part": pdf["__part"], "answer": found})
 
     return asks.repartition(parts, "__part").groupBy("__part").applyInPandas(run, ANSWER)
@@ -119,16 +144,17 @@ def meet(blocks: Blocks, answers: DataFrame, finish: Callable[[pa.Table, list[by
     return blocks.rows.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(run, schema)
 
 
-def repeated_keys(keys: np.ndarray, own: np.ndarray, totals: np.ndarray) -> bytes:
+def repeated_keys(keys: np.ndarray, own: np.ndarray, totals: np.ndarray, holders: np.ndarray) -> bytes:
     """An answer: those of the keys that occur at least twice in all."""
     return keys[totals > 1].astype("<u8").tobytes()
 
 
-def total_counts(keys: np.ndarray, own: np.ndarray, totals: np.ndarray) -> bytes:
-    """An answer: the total of every key, in order, as byte planes of 64 bits; the upper ones compress away."""
-    return np.ascontiguousarray(totals.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+def counts_elsewhere(keys: np.ndarray, own: np.ndarray, totals: np.ndarray, holders: np.ndarray) -> bytes:
+    """An answer: per key, in order, twice the count in other blocks, plus 1 where another block has the key at all."""
+    return numbers_to_bytes((totals - own.astype(np.int64)) * 2 + (holders > 1))
 
 
-def counts_from_bytes(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+def read_elsewhere(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts in other blocks, and whether another block has the key."""
+    numbers = np.concatenate([numbers_from_bytes(b) for b in answers] or [np.empty(0, np.uint64)]).astype(np.int64)
+    return numbers >> 1, (numbers & 1).astype(bool)

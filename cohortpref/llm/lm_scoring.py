@@ -14,7 +14,9 @@ Texts are read in lanes, one step of all lanes at a time; a long text is cut int
 state that its place has in the table.
 
 A worker does not hold the automaton of the corpus: a block asks for the counts of its own distinct n-grams (`blocks`) and
-builds the states and arcs that its texts can reach. So the model grows with the corpus, no worker holds more than
+builds the states and arcs that its texts can reach. It first asks about words and pairs. A longer n-gram can occur in
+another block only if all its pairs do, so only those are asked about then; of the others the block has the whole count
+itself. So the model grows with the corpus, no worker holds more than
 one block, and a hot n-gram is one entry per block.
 
 Results for odd input: a null or empty text is the end token alone; an empty training part makes every word unknown, with
@@ -33,7 +35,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortpref.llm.blocks import answer, ask, counts_from_bytes, deal, keys_from_bytes, keys_to_bytes, meet, total_counts
+from cohortpref.llm.blocks import (
+    ASK,
+    answer,
+    ask,
+    asked,
+    block_number,
+    counts_elsewhere,
+    deal,
+    keys_from_bytes,
+    keys_to_bytes,
+    meet,
+    numbers_from_bytes,
+    numbers_to_bytes,
+    read_elsewhere,
+)
 from cohortpref.llm.common import Aside, WordHashes, mix, pieces, text_bytes, words_of
 
 ORDER = 3
@@ -42,7 +58,7 @@ BASE = 0.1
 # Stand for the end and the start of a text; no word hashes are made equal to them but by chance of 2**-64.
 END = np.uint64(0xE4D0000000000001)
 START = np.uint64(0x57A7000000000003)
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 4_000_000
 PART_BYTES = 24 << 20
 LANE = 1024  # words of a text that one lane reads
 
@@ -83,7 +99,7 @@ def corpus_totals(docs: DataFrame, training: Column) -> CorpusTotals:
             part = ((keys >> shift) % np.uint64(parts))[order]
             edges = np.flatnonzero(np.diff(part, prepend=part[0] + 1 if len(part) else 0))
             ends = np.append(edges[1:], len(part))
-            rows = [(int(part[a]), keys_to_bytes(keys[order[a:b]]), counts[order[a:b]].astype("<u4").tobytes()) for a, b in zip(edges, ends)]
+            rows = [(int(part[a]), keys_to_bytes(keys[order[a:b]]), numbers_to_bytes(counts[order[a:b]])) for a, b in zip(edges, ends)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"]
             )
@@ -100,7 +116,7 @@ def corpus_totals(docs: DataFrame, training: Column) -> CorpusTotals:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([keys_from_bytes(b) for b in pdf["keys"]])
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in pdf["counts"]])
+        counts = np.concatenate([numbers_from_bytes(b) for b in pdf["counts"]])
         distinct, inverse = np.unique(keys, return_inverse=True)
         sums = np.bincount(inverse, weights=counts, minlength=len(distinct))
         return pd.DataFrame({
@@ -156,6 +172,21 @@ def root_probability(count: np.ndarray, totals: CorpusTotals) -> np.ndarray:
     return np.where(count > 0, count - d, d * totals.words) / totals.tokens
 
 
+def open_grams(grams: Grams, elsewhere: np.ndarray) -> np.ndarray:
+    """The n-grams of three words and more that may occur in other blocks: those whose pairs all do. `elsewhere` is
+    about the n-grams of one and two words."""
+    found = np.zeros(len(grams.distinct), bool)
+    found[grams.length <= 2] = elsewhere
+    if len(grams.at) < 4:
+        return np.empty(0, np.int64)
+    here = found[grams.at[2]] & (grams.at[2] >= 0)
+    for j in range(3, len(grams.at)):
+        here = here & np.concatenate([[False], here[:-1]])  # all pairs of the j words that end here
+        long = grams.length == j
+        found[long] = here[grams.first[long]]
+    return np.flatnonzero(found & (grams.length > 2))
+
+
 @dataclass(frozen=True)
 class Automaton:
     """The states and arcs that the texts of a block can reach, one entry per n-gram of the block."""
@@ -223,27 +254,40 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
     aside = Aside(docs.withColumn(learns, F.coalesce(training, F.lit(False))), ("doc_id", "text", learns), keep, tuple(name for name, _ in results))
     keep = aside.keep
     blocks = deal(aside.rows, tuple(dict.fromkeys([*keep, learns, "text"])))
+    parts = blocks.count
 
-    def learnt(table: pa.Table) -> Grams:
-        return grams_of(_tokens(v.as_py() for v in table.column("text")), order)
-
-    def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        grams = learnt(table)
+    def learnt(table: pa.Table) -> tuple[Grams, np.ndarray]:
+        """The n-grams of a block, and how often its training texts have them."""
+        grams = grams_of(_tokens(v.as_py() for v in table.column("text")), order)
         weight = np.repeat(np.array(table.column(learns).to_pylist(), float), grams.sizes)
         counts = np.zeros(len(grams.distinct))
         for ids in grams.at[1:]:
             real = ids >= 0
             counts += np.bincount(ids[real], weights=weight[real], minlength=len(counts))
-        return grams.distinct, counts
+        return grams, counts.astype(np.int64)
+
+    def short_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        grams, own = learnt(table)
+        short = grams.length <= 2
+        return grams.distinct[short], own[short]
+
+    def long_keys(table: pa.Table, answers: list[bytes]) -> pa.Table:
+        grams, own = learnt(table)
+        some = open_grams(grams, read_elsewhere(answers)[1])
+        return asked(block_number(table), grams.distinct[some], own[some], parts, shift=parts)
 
     schema = aside.rows.select(*keep).schema
     for name, kind in results:
         schema = schema.add(name, kind)
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
-        grams = learnt(table)
-        counts = np.concatenate([counts_from_bytes(b) for b in answers])
-        assert len(counts) == len(grams.distinct)
+        grams, counts = learnt(table)
+        others, elsewhere = read_elsewhere(answers)
+        # The answers about words and pairs come first.
+        short = np.flatnonzero(grams.length <= 2)
+        asked_for = np.concatenate([short, open_grams(grams, elsewhere[: len(short)])])
+        assert len(others) == len(asked_for)
+        counts[asked_for] += others
         scores = traverse(grams, build_automaton(grams, counts, totals, k))
         real = np.ones(len(grams.at[1]), bool)
         real[grams.starts] = False
@@ -257,4 +301,8 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
             out = out.append_column(name, pa.array(column, pa.int64() if kind == "long" else pa.float64()))
         return out
 
-    return aside.back(meet(blocks, answer(ask(blocks, keys), total_counts, blocks.count), finish, schema))
+    answers = answer(ask(blocks, short_keys), counts_elsewhere, parts)
+    if order > 2:
+        longer = meet(blocks, answers, long_keys, ASK)
+        answers = answers.unionByName(answer(longer, counts_elsewhere, parts))
+    return aside.back(meet(blocks, answers, finish, schema))

@@ -15,7 +15,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortpref.llm import components, fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from cohortpref.llm import blocks, components, fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
 from cohortpref.llm.common import words_of
 from cohortpref.llm.oracle import SQL
 from cohortpref.llm.queries import QUERIES, tokenizer_path
@@ -273,6 +273,24 @@ def test_lm_scoring_backs_off_over_several_levels(spark, order):
         assert got[doc_id].score == pytest.approx(want)
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 10, 17, 40, 300, 5000])
+def test_numbers_travel_whole(size):
+    rng = np.random.default_rng(size)
+    for top in (1, 2, 200, 5_000_000_000, 2**63):
+        for _ in range(20):
+            numbers = rng.integers(0, top, size).astype(np.uint64)
+            assert (blocks.numbers_from_bytes(blocks.numbers_to_bytes(numbers)) == numbers).all()
+            keys = np.unique(numbers)
+            assert (blocks.keys_from_bytes(blocks.keys_to_bytes(keys)) == keys).all()
+
+
+def test_counts_beyond_32_bits():
+    totals = np.array([5_000_000_000, 7], np.int64)
+    answers = [blocks.counts_elsewhere(np.arange(2), np.array([1, 7], np.uint64), totals, np.array([3, 1]))]
+    others, elsewhere = blocks.read_elsewhere(answers)
+    assert others.tolist() == [4_999_999_999, 0] and elsewhere.tolist() == [True, False]
+
+
 def test_lm_traversal_does_not_depend_on_lanes():
     rng = random.Random(3)
     table = lm_scoring.WordHashes()
