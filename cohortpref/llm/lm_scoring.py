@@ -132,12 +132,12 @@ def corpus_totals(docs: DataFrame, training: Column) -> CorpusTotals:
 @dataclass(frozen=True)
 class Grams:
     """The n-grams of a block: `distinct` holds their ascending keys, `at[j]` which of them the j words that end at a
-    place form (-1 where the text has not so many yet), `first` one place of every n-gram, `length` its words."""
+    place form (-1 where the text has not so many yet), `place` one place of every n-gram, `length` its words."""
 
     starts: np.ndarray  # places of START
     sizes: np.ndarray  # places of every text, START included
     distinct: np.ndarray
-    first: np.ndarray
+    place: np.ndarray
     length: np.ndarray
     at: list[np.ndarray]
 
@@ -154,15 +154,19 @@ def grams_of(tokens: list[np.ndarray], order: int) -> Grams:
         whole = mix(np.concatenate([np.zeros(1, np.uint64), whole[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + last)
         places.append(np.flatnonzero(depth >= j - 1))
         keys.append(whole[places[-1]])
-    distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     ends = np.cumsum([len(k) for k in keys])
-    length = np.searchsorted(ends, first, "right") + 1
+    one_place = np.empty(len(distinct), np.int64)
+    length = np.empty(len(distinct), np.int8)
+    for j, (place, end) in enumerate(zip(places, ends), 1):
+        found = inverse[end - len(place) : end]
+        one_place[found], length[found] = place, j
     at: list[np.ndarray] = [np.empty(0, np.int32)]
     for place, end in zip(places, ends):
         ids = np.full(len(flat), -1, np.int32)
         ids[place] = inverse[end - len(place) : end]
         at.append(ids)
-    return Grams(starts, sizes, distinct, np.concatenate(places)[first], length, at)
+    return Grams(starts, sizes, distinct, one_place, length, at)
 
 
 def root_probability(count: np.ndarray, totals: CorpusTotals) -> np.ndarray:
@@ -183,7 +187,7 @@ def open_grams(grams: Grams, elsewhere: np.ndarray) -> np.ndarray:
     for j in range(3, len(grams.at)):
         here = here & np.concatenate([[False], here[:-1]])  # all pairs of the j words that end here
         long = grams.length == j
-        found[long] = here[grams.first[long]]
+        found[long] = here[grams.place[long]]
     return np.flatnonzero(found & (grams.length > 2))
 
 
@@ -201,7 +205,7 @@ def build_automaton(grams: Grams, counts: np.ndarray, totals: CorpusTotals, k: f
     arc = np.log10(root_probability(counts, totals), out=np.zeros(len(counts)), where=grams.length == 1)
     for j in range(2, len(grams.at)):
         some = np.flatnonzero(known & (grams.length == j))
-        place = grams.first[some]
+        place = grams.place[some]
         # The shorter n-gram is seen wherever the longer one is.
         lower, context = grams.at[j - 1][place], grams.at[j - 1][place - 1]
         arc[some] = np.log10((counts[some] + k * 10.0 ** arc[lower]) / (counts[context] + k))
@@ -256,7 +260,7 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
     blocks = deal(aside.rows, tuple(dict.fromkeys([*keep, learns, "text"])))
     parts = blocks.count
 
-    def learnt(table: pa.Table) -> tuple[Grams, np.ndarray]:
+    def learnt(table: pa.Table, order: int = order) -> tuple[Grams, np.ndarray]:
         """The n-grams of a block, and how often its training texts have them."""
         grams = grams_of(_tokens(v.as_py() for v in table.column("text")), order)
         weight = np.repeat(np.array(table.column(learns).to_pylist(), float), grams.sizes)
@@ -267,9 +271,8 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
         return grams, counts.astype(np.int64)
 
     def short_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        grams, own = learnt(table)
-        short = grams.length <= 2
-        return grams.distinct[short], own[short]
+        grams, own = learnt(table, min(order, 2))
+        return grams.distinct, own
 
     def long_keys(table: pa.Table, answers: list[bytes]) -> pa.Table:
         grams, own = learnt(table)

@@ -300,7 +300,7 @@ def test_lm_traversal_does_not_depend_on_lanes():
     counts = np.array([rng.choice((0, 1, 3)) for _ in grams.distinct])
     for j in (2, 3):  # counts of a real corpus: no n-gram is seen without its parts
         for g in np.flatnonzero(grams.length == j):
-            at = grams.first[g]
+            at = grams.place[g]
             counts[g] = min(counts[g], counts[grams.at[j - 1][at]], counts[grams.at[j - 1][at - 1]])
     automaton = lm_scoring.build_automaton(grams, counts, lm_scoring.CorpusTotals(600, 4, 1, 1), 50.0)
     whole = lm_scoring.traverse(grams, automaton, 10_000)
