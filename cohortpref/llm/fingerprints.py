@@ -2,11 +2,15 @@
 
 Terms are the words of a text, weighted by how often they occur. For every term and every sample a hash gives
 r ~ Gamma(2, 1), c ~ Gamma(2, 1) and b ~ U(0, 1); with t = floor(ln(weight) / r + b) the sample's value is
-ln(c) - r (t - b + 1), and the term with the least value is drawn. The value is a function of (term, t), so two texts draw the
+c exp(-r (t - b + 1)), and the term with the least value is drawn. The value is a function of (term, t), so two texts draw the
 same (term, t) exactly when their least values are equal, and that happens with the probability of their generalised
 Jaccard similarity: sum of the lesser weights / sum of the greater. A fingerprint is SAMPLES least values, hashed to 16
 bits each; the likeness of two fingerprints is the share of equal places.
 
+r and b come from two uniforms u and v: -ln(u) and -ln(v) are exponential, their sum r is Gamma(2, 1), and b = -ln(v) / r is
+uniform and independent of r. Then r (1 - b) = -ln(u), so the value is c u exp(-r t): for weight 1, where t is 0, the most
+common case, one logarithm (that of c) is all there is to compute. No two samples of a term share a number.
+
 Results for odd input: a null or empty text has a fingerprint of its own that equals only that of other texts without
 words; equal texts have equal fingerprints; the next document is the one of the next larger doc_id (of rows that share it,
 the one of the smallest text); the last one's next is the first; a row without doc_id has no next document: nothing is
@@ -15,18 +19,17 @@ put in place of what is cut off, and near_next is null. An empty table gives an
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortpref.llm.common import pieces, text_bytes, word_array
 from cohortpref.session import snapshot
 
-# Samples are drawn in groups, as many columns at a time. The standard error of a likeness is
-# sqrt(s (1 - s) / SAMPLES): 0.044 at similarity 0.5, 0.035 at 0.8.
-GROUP_SAMPLES = 32
-GROUPS = 4
+# Samples are drawn in groups, as many columns at a time: so few that the method Spark generates for them stays below the
+# size up to which the JVM compiles it. The standard error of a likeness is sqrt(s (1 - s) / SAMPLES): 0.044 at similarity
+# 0.5, 0.035 at 0.8.
+GROUP_SAMPLES = 16
+GROUPS = 8
 SAMPLES = GROUP_SAMPLES * GROUPS
 SEED = 77
 RANGE_IDS = 200_000
@@ -39,50 +42,71 @@ def _uniform(h: str, low: int, places: int) -> str:
 
 
 def _sample(number: int) -> Column:
-    """Value of sample `number` from its hash, the logarithm `log_weight` and the term's uniform `beta`. The samples of a
-    term and group share `beta`, turned by another part of the circle for each."""
-    turn = math.modf((number + 1) * (math.sqrt(5) - 1) / 2)[0]
-    b = f"(beta + if(beta < {1 - turn!r}D, {turn!r}D, {turn - 1!r}D))"
+    """Value of sample `number` from its hash and the logarithm `log_weight`. The least values of a long text lie at small u,
+    so u has the most bits."""
     h = f"h{number}"
+    u, v = _uniform(h, 0, 24), _uniform(h, 24, 12)
     # Minus the logarithm of a product of two uniforms is Gamma(2, 1).
-    r = f"(-ln({_uniform(h, 0, 12)} * {_uniform(h, 12, 12)}))"
-    c = f"(-ln({_uniform(h, 24, 20)} * {_uniform(h, 44, 20)}))"
-    # b is below 1, so t is 0 for weight 1, the most common one.
-    return F.expr(f"ln({c}) - {r} * (1.0D - {b} + if(log_weight = 0.0D, 0.0D, floor(log_weight / {r} + {b})))")
-
-
-def _weighted_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """`keys`, term, weight of every distinct word; one row with nulls for a text without words."""
-    hashed = rows.select(*keys, F.sort_array(F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w))).alias("terms"))
+    c = f"(-ln({_uniform(h, 36, 14)} * {_uniform(h, 50, 14)}))"
+    t = f"floor((ln({v}) - log_weight) / ln({u} * {v}))"
+    # v is below 1, so t is 0 for weight 1.
+    return F.expr(f"{c} * {u} * if(log_weight = 0.0D, 1.0D, exp({t} * ln({u} * {v})))")
+
+
+def _weighted_terms(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """`keys`, term, weight, member of the distinct words of two texts: member 0 for a word that both have equally often,
+    else 1 or 2 for the text that has it so often; one row with nulls where neither text has words."""
+    # The lowest bit of a hash tells the text, so that one sort brings the runs of a word in both texts together.
+    tagged = lambda text, bit: F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)) + F.lit(bit))
+    hashed = rows.select(*keys, F.sort_array(F.concat(tagged(first, 0), tagged(second, 1))).alias("terms"))
     # Where the runs of equal hashes begin, and the end of the last one.
     places = F.sequence(F.lit(0), F.size("terms"))
     begins = F.filter(places, lambda i: (i == 0) | (i == F.size("terms")) | (F.get("terms", i) != F.get("terms", i - 1)))
     some = F.size("terms") > 0
     runs = hashed.withColumn("begins", F.when(some, begins))
     runs = runs.select(*keys, "terms", "begins", F.explode_outer(F.when(some, F.sequence(F.lit(0), F.size("begins") - 2))).alias("run"))
-    start = F.get("begins", F.col("run"))
-    return runs.select(*keys, F.get("terms", start).alias("term"), (F.get("begins", F.col("run") + 1) - start).alias("weight"))
 
+    def weight(run: Column) -> Column:
+        return F.get("begins", run + 1) - F.get("begins", run)
+
+    def tag(run: Column) -> Column:
+        return F.get("terms", F.get("begins", run))
+
+    run = F.col("run")
+    own = tag(run)
+    second_text = own.bitwiseAND(F.lit(1)) == 1
+    # The other text's run of the same word, if it has one, is the next run or the one before.
+    equal_after = (tag(run + 1) == own + 1) & (weight(run + 1) == weight(run))
+    equal_before = (tag(run - 1) == own - 1) & (weight(run - 1) == weight(run))
+    member = F.when(second_text, F.when(equal_before, F.lit(None)).otherwise(2)).when(equal_after, 0).otherwise(1)
+    runs = runs.select(*keys, own.bitwiseAND(F.lit(-2)).alias("term"), weight(run).alias("weight"), F.when(own.isNull(), 0).otherwise(member).alias("member"))
+    return runs.where(F.col("member").isNotNull())
 
-def draw(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """`keys` and `fingerprint` of every row. The keys must tell rows apart; where `rows` is dealt by one of them nothing
-    is shuffled, and a task holds one set of least values per row."""
-    terms = _weighted_terms(rows, keys, text)
-    # The hashes are columns of their own, so that each is computed once and the expressions stay small; all columns of a
-    # group together stay below the number up to which Spark generates code for a whole stage (100). The groups are rows.
+
+def draw(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """`keys`, `first_fingerprint` and `second_fingerprint` of every row. What two texts share is drawn once. The keys must
+    tell rows apart; where `rows` is dealt by one of them nothing is shuffled, and a task holds the least values of its rows."""
+    terms = _weighted_terms(rows, keys, first, second)
+    # The hashes are columns of their own, so that each is computed once and the expressions stay small. The groups are rows.
     numbers = range(GROUP_SAMPLES)
-    terms = terms.select(*keys, "term", "weight", F.explode(F.array(*[F.lit(g) for g in range(GROUPS)])).alias("group"))
-    seed = F.lit(SEED) + F.col("group") * F.lit(GROUP_SAMPLES + 1)
+    terms = terms.select(*keys, "member", "term", "weight", F.explode(F.array(*[F.lit(g) for g in range(GROUPS)])).alias("group"))
+    seed = F.lit(SEED) + F.col("group") * F.lit(GROUP_SAMPLES)
     measured = terms.select(
-        *keys, "group", F.log(F.col("weight").cast("double")).alias("log_weight"),
-        (F.xxhash64("term", seed).bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("beta"),
-        *[F.when(F.col("term").isNotNull(), F.xxhash64("term", seed + F.lit(1 + j))).alias(f"h{j}") for j in numbers],
+        *keys, "group", "member", F.log(F.col("weight").cast("double")).alias("log_weight"),
+        *[F.when(F.col("term").isNotNull(), F.xxhash64("term", seed + F.lit(j))).alias(f"h{j}") for j in numbers],
     )
-    least = measured.groupBy(*keys, "group").agg(*[F.min(_sample(j)).alias(f"m{j}") for j in numbers])
-    cells = [F.lpad(F.hex(F.xxhash64(F.coalesce(f"m{j}", F.lit(float("inf")))).bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in numbers]
-    drawn = least.select(*keys, "group", F.concat(*cells).alias("cells"))
-    parts = drawn.groupBy(*keys).agg(*[F.max(F.when(F.col("group") == g, F.col("cells"))).alias(f"g{g}") for g in range(GROUPS)])
-    return parts.select(*keys, F.concat(*[f"g{g}" for g in range(GROUPS)]).alias("fingerprint"))
+    least = measured.groupBy(*keys, "group", "member").agg(*[F.min(_sample(j)).alias(f"m{j}") for j in numbers])
+    of = lambda j, other: F.min(F.when(F.col("member") != other, F.col(f"m{j}")))
+    least = least.groupBy(*keys, "group").agg(*[of(j, 2).alias(f"a{j}") for j in numbers], *[of(j, 1).alias(f"b{j}") for j in numbers])
+
+    def cells(version: str) -> Column:
+        places = [F.lpad(F.hex(F.xxhash64(F.coalesce(f"{version}{j}", F.lit(float("inf")))).bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in numbers]
+        return F.concat(*places)
+
+    drawn = least.select(*keys, "group", cells("a").alias("a"), cells("b").alias("b"))
+    parts = drawn.groupBy(*keys).agg(*[F.max(F.when(F.col("group") == g, F.col(c))).alias(f"{c}{g}") for c in "ab" for g in range(GROUPS)])
+    whole = lambda c: F.concat(*[f"{c}{g}" for g in range(GROUPS)])
+    return parts.select(*keys, whole("a").alias("first_fingerprint"), whole("b").alias("second_fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,15 +140,15 @@ def _both_versions(joined: DataFrame) -> DataFrame:
     joined = joined.select("doc_id", "next_id", text.alias("text"), F.coalesce("head", F.lit("")).alias("head"), F.char_length(text).cast("long").alias("n_chars"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("head", F.lit(1), cut))
-    rows = joined.select("doc_id", "next_id", "n_chars", "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     sha = F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha")
-    rows = rows.select("doc_id", "row", "next_id", "n_chars", sha, F.inline(both))
+    rows = joined.select("doc_id", "next_id", "n_chars", "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
     keys = ["doc_id", "row", "next_id", "n_chars", "sha"]
+    drawn = draw(rows.select("*", sha), keys, "text", "edited")
     # As bytes, half as long, in all that is written and shuffled from here on.
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.unhex("fingerprint")))
-    drawn = draw(rows, [*keys, "kind"], "t")
-    return drawn.groupBy(*keys).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")).drop("row")
+    return drawn.select(
+        "doc_id", "next_id", "n_chars", "sha",
+        F.unhex("first_fingerprint").alias("fingerprint"), F.unhex("second_fingerprint").alias("edited_fingerprint"),
+    )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
