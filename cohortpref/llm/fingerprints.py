@@ -110,8 +110,8 @@ def draw(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal places of two fingerprints."""
-    same = F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda j: F.substr(a, 4 * j + 1, F.lit(4)) == F.substr(b, 4 * j + 1, F.lit(4)))
+    """Share of equal places of two fingerprints, given as bytes: there a place is found without counting characters."""
+    same = F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda j: F.substr(a, 2 * j + 1, F.lit(2)) == F.substr(b, 2 * j + 1, F.lit(2)))
     return F.size(same) / float(SAMPLES)
 
 
@@ -176,9 +176,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pairs = snapshot(drawn, "fingerprints")
     following = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n_chars", "fingerprint"))["fingerprint"].alias("next_fingerprint"))
     out = pairs.join(following, F.col("next_id") == F.col("id"), "left")
-    out = out.withColumns({c: F.hex(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
     return out.select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+        F.hex("fingerprint").alias("fingerprint"), F.hex("edited_fingerprint").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.when(F.col("next_fingerprint").isNotNull(), likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
     )
