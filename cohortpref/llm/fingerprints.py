@@ -176,9 +176,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pairs = snapshot(drawn, "fingerprints")
     following = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n_chars", "fingerprint"))["fingerprint"].alias("next_fingerprint"))
     out = pairs.join(following, F.col("next_id") == F.col("id"), "left")
-    return out.select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
-        F.hex("fingerprint").alias("fingerprint"), F.hex("edited_fingerprint").alias("edited_fingerprint"),
+    # Before the fingerprints become hex: beside an alias `fingerprint`, the lambda would take that one for the column.
+    near = out.select(
+        "doc_id", "n_chars", "sha", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.when(F.col("next_fingerprint").isNotNull(), likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
     )
+    digest = F.lower(F.hex("sha")).alias("edited_sha256")
+    prints = [F.hex(c).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return near.select("doc_id", "n_chars", digest, *prints, "near_edited", "near_next")

@@ -83,7 +83,11 @@ def test_fingerprints_err_little(spark):
     texts = [" ".join(f"v{rng.randrange(400)}" for _ in range(200)) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     off = []
-    for row in fingerprints.fingerprints(docs).collect():
+    rows = {row.doc_id: row for row in fingerprints.fingerprints(docs).collect()}
+    equal = lambda a, b: sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 512, 4)) / 128
+    for row in rows.values():
+        assert row.near_edited == equal(row.fingerprint, row.edited_fingerprint)
+        assert row.near_next == equal(row.fingerprint, rows[(row.doc_id + 1) % len(texts)].fingerprint)
         text, following = texts[row.doc_id], texts[(row.doc_id + 1) % len(texts)]
         edited = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
         off += [row.near_edited - likeness(text, edited), row.near_next - likeness(text, following)]
