@@ -3,7 +3,7 @@ import time
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortpref.plans import catalog
@@ -273,3 +273,23 @@ def test_pca_learns_from_the_train_rows_of_every_cluster(spark, sf_dir, monkeypa
     with pytest.raises(Seen) as seen:
         catalog.QUERIES[name](spark, sf_dir)
     assert seen.value.args[0] == set(range(25))
+
+
+def test_wide_projections_stay_off_the_disk(spark, sf_dir):
+    """With all components kept, the snapshots hold the one-hot vectors, and the run goes on and resumes from those."""
+    settings = RunSettings(work_path(spark, "wide") + "/b", pca_perc=100, k=4, split_key=("BOOKING_ID",))
+    paths = settings.paths
+    full = run(spark, settings, bookings=bookings(spark, sf_dir).select("BOOKING_ID", *ROLES.columns))
+    for path in (paths.pca_train, paths.pca_test, paths.kmeans_train, paths.kmeans_test):
+        columns = spark.read.parquet(path).columns
+        assert "features" in columns and "pca_features" not in columns
+    # Centres and distances are those of the projected rows.
+    rows = full.train.select("prediction", vector_to_array("pca_features").alias("v"))
+    nearest = assign_nearest(rows, "v", full.centers.select("cluster", "center"))
+    assert nearest.where("cluster <> prediction").count() == 0
+    assert full.info["wssse_train"] == pytest.approx(nearest.agg(F.sum("d2")).first()[0])
+    resumed = run(spark, settings, start="DICT", snapshots=["DICT"])
+    assert report(resumed, "accuracy_by_choice") == report(full, "accuracy_by_choice")
+    assert resumed.info["wssse_test"] == pytest.approx(full.info["wssse_test"])
+    sweep = sweep_run(spark, settings, (settings.k,)).first()
+    assert sweep.wssse_test == pytest.approx(full.info["wssse_test"])
