@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from cohortpref.plans import catalog
+from cohortpref.plans import catalog, stages
 from cohortpref.functions.vectors import nearest_rows
 from cohortpref.operators.cluster import assign_nearest, fit_kmeans, fit_pca, model_centers, model_wssse, pca_components
 from cohortpref.operators.canonical import component_signs, fit_signed_pca, number_centers, renumber
@@ -293,3 +293,35 @@ def test_wide_projections_stay_off_the_disk(spark, sf_dir):
     assert resumed.info["wssse_test"] == pytest.approx(full.info["wssse_test"])
     sweep = sweep_run(spark, settings, (settings.k,)).first()
     assert sweep.wssse_test == pytest.approx(full.info["wssse_test"])
+
+
+def test_rows_are_split_before_they_are_encoded(spark, sf_dir, monkeypatch):
+    encode, seen = stages.encode_features, []
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return encode(rows, *rest)
+
+    monkeypatch.setattr(stages, "encode_features", counted)
+    settings = RunSettings(work_path(spark, "split") + "/b", split_key=("BOOKING_ID",))
+    state = run(spark, settings, stop="LOAD", bookings=bookings(spark, sf_dir).select("BOOKING_ID", *ROLES.columns))
+    assert seen == [state.info["rows_train"], state.info["rows_test"]] and min(seen) > 0
+
+
+def test_variance_is_fitted_on_written_vectors(spark, sf_dir, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(rows, components):
+        raise Seen(rows.inputFiles())
+
+    monkeypatch.setattr(catalog, "fit_pca", fit)
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES["pca_variance"](spark, sf_dir)
+    assert seen.value.args[0] and all("/features-" in path for path in seen.value.args[0])
+
+
+def test_json_records_are_written_compressed(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "work_path", lambda spark, name: str(tmp_path / name))
+    rows = catalog.QUERIES["json_records"](spark, sf_dir).count()
+    assert 0 < sum(f.stat().st_size for f in (tmp_path / "json").iterdir()) < 150 * rows
