@@ -13,23 +13,15 @@ from pyspark.sql import functions as F
 # `bytes.split()` cuts at exactly these six, and `bytes.lower()` changes exactly A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-# Entries a worker keeps of its word -> hash table before it starts afresh.
-CACHE_WORDS = 120_000
 # xxhash with another seed for every use, so that the uses are independent.
 WORD_SEED = 11
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; filled as words are asked for, emptied by `trim` when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word, WORD_SEED)
-        return value
+class WordHashes:
+    """64-bit hashes of words (bytes). No table of words is kept: looking a word up costs as much as hashing it."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter([xxhash.xxh3_64_intdigest(word, WORD_SEED) for word in words], dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,6 +43,14 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def window_hashes_at(hashes: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """`window_hashes` of the runs that start at the positions `at` only."""
+    total = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k]
+    return mix(total)
+
+
 def power_window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """As `window_hashes`, for wide windows: the power sums of the prefix are kept, so the cost does not depend on
     `width`. The hashes are another family than those of `window_hashes`."""

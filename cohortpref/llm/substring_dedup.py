@@ -15,12 +15,15 @@ Other columns pass through when asked for in `keep`; one named like a result col
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import chain, compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortpref.llm.blocks import ASK, answer, ask, asked, block_number, deal, meet, repeated_keys
-from cohortpref.llm.common import Aside, WordHashes, power_window_hashes, window_hashes, words_of
+from cohortpref.llm.common import Aside, WordHashes, power_window_hashes, window_hashes_at, words_of
 
 WIDTH = 35
 # A perfect difference set: its differences give every remainder modulo 21 but 0 exactly once.
@@ -31,25 +34,40 @@ ANCHOR = WIDTH - PERIOD + 1
 _hashes = WordHashes()
 
 
-def cover_positions(n: int) -> np.ndarray:
-    """Cover positions below n."""
-    starts = np.arange(0, n, PERIOD)[:, None] + np.array(COVER)
-    return starts.ravel()[starts.ravel() < n]
+@dataclass(frozen=True)
+class Passages:
+    """The word hashes of all documents of a block one after the other; `place` is a word's number in its document and
+    `left` the number of words from it to the document's end, itself included."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray  # words per document
+    place: np.ndarray
+    left: np.ndarray
+
+    @staticmethod
+    def of(documents: list[list[bytes]]) -> "Passages":
+        sizes = np.array([len(words) for words in documents], np.int64)
+        hashes = _hashes.of(list(chain.from_iterable(documents)))
+        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(hashes)) - begins
+        return Passages(hashes, sizes, place, np.repeat(sizes, sizes) - place)
 
 
-def anchors(hashes: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of one document."""
-    every = window_hashes(hashes, width - PERIOD + 1)
-    at = cover_positions(len(every))
-    return at, every[at]
+def anchors(block: Passages, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of all documents."""
+    length = width - PERIOD + 1
+    covered = np.zeros(PERIOD, bool)
+    covered[list(COVER)] = True
+    at = np.flatnonzero((block.left >= length) & covered[block.place % PERIOD])
+    return at, window_hashes_at(block.hashes, length, at)
 
 
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
 
 
-def _documents(table: pa.Table) -> list[np.ndarray]:
-    return [_hashes.of(words_of(value.as_py())) for value in table.column("text")]
+def _documents(table: pa.Table) -> list[list[bytes]]:
+    return [words_of(text) for text in table.column("text").to_pylist()]
 
 
 def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -63,28 +81,25 @@ def _set_of(answers: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(answers), "<u8").astype(np.uint64)
 
 
-def candidate_windows(hashes: np.ndarray, repeated: np.ndarray, width: int) -> np.ndarray:
+def _within(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """True for every one of n positions that lies in a range begin <= position < end."""
+    return np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+
+
+def candidate_windows(block: Passages, repeated: np.ndarray, width: int) -> np.ndarray:
     """Starts of the windows that contain a repeated anchor."""
-    n = len(hashes) - width + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    at, keys = anchors(hashes, width)
+    at, keys = anchors(block, width)
     hit = at[_member(keys, repeated)]
-    change = np.zeros(n + 1, np.int64)
-    # An anchor at p lies in the windows that start from p - (PERIOD - 1) to p.
-    np.add.at(change, np.maximum(hit - (PERIOD - 1), 0).clip(max=n), 1)
-    np.add.at(change, (hit + 1).clip(max=n), -1)
-    return np.flatnonzero(np.cumsum(change[:n]) > 0)
+    # An anchor at p lies in the windows of its document that start from p - (PERIOD - 1) to p.
+    first = hit - np.minimum(block.place[hit], PERIOD - 1)
+    return np.flatnonzero(_within(first, hit + 1, len(block.hashes)) & (block.left >= width))
 
 
-def covered_words(hashes: np.ndarray, repeated: np.ndarray, width: int) -> np.ndarray:
+def covered_words(block: Passages, repeated: np.ndarray, width: int) -> np.ndarray:
     """True for every word inside a repeated window."""
-    n = len(hashes)
-    starts = np.flatnonzero(_member(power_window_hashes(hashes, width), repeated))
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + width, -1)
-    return np.cumsum(change[:n]) > 0
+    starts = np.flatnonzero(block.left >= width)
+    starts = starts[_member(power_window_hashes(block.hashes, width)[starts], repeated)] if len(starts) else starts
+    return _within(starts, starts + width, len(block.hashes))
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH) -> DataFrame:
@@ -97,29 +112,26 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width:
     parts = blocks.count
 
     def anchor_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct([anchors(h, width)[1] for h in _documents(table)])
+        return _distinct(anchors(Passages.of(_documents(table)), width)[1])
 
     def window_keys(table: pa.Table, answers: list[bytes]) -> pa.Table:
-        repeated = _set_of(answers)
-        found = []
-        for h in _documents(table):
-            starts = candidate_windows(h, repeated, width)
-            if len(starts):
-                found.append(power_window_hashes(h, width)[starts])
-        return asked(block_number(table), *_distinct(found), parts)
+        block = Passages.of(_documents(table))
+        starts = candidate_windows(block, _set_of(answers), width)
+        keys = power_window_hashes(block.hashes, width)[starts] if len(starts) else np.empty(0, np.uint64)
+        return asked(block_number(table), *_distinct(keys), parts)
 
     schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
-        repeated = _set_of(answers)
-        totals, removed, kept = [], [], []
-        for value in table.column("text"):
-            words = words_of(value.as_py())
-            gone = covered_words(_hashes.of(words), repeated, width) if len(words) >= width else np.zeros(len(words), bool)
-            lost = int(gone.sum())
-            totals.append(len(words))
-            removed.append(lost)
-            left = [words[i] for i in np.flatnonzero(~gone)] if lost else words
+        documents = _documents(table)
+        block = Passages.of(documents)
+        gone = covered_words(block, _set_of(answers), width)
+        ends = np.cumsum(block.sizes)
+        lost = np.concatenate([[0], np.cumsum(gone)])
+        removed = lost[ends] - lost[ends - block.sizes]
+        totals, kept = block.sizes, []
+        for words, end, some in zip(documents, ends.tolist(), removed.tolist()):
+            left = list(compress(words, ~gone[end - len(words) : end])) if some else words
             kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
         out = table.select(list(keep))
         for name, column, kind in (("n_words", totals, pa.int64()), ("n_removed", removed, pa.int64()), ("kept_text", kept, pa.string())):

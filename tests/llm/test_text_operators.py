@@ -15,7 +15,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortpref.llm import blocks, components, fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from cohortpref.llm import blocks, common, components, fingerprints, lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
 from cohortpref.llm.common import words_of
 from cohortpref.llm.oracle import SQL
 from cohortpref.llm.queries import QUERIES, tokenizer_path
@@ -619,3 +619,25 @@ def test_pipeline(spark, sf_dir):
     before, after = seen["mixing"]
     assert set(after.doc_id) <= set(before.doc_id) and Counter(after.doc_id).most_common(1)[0][1] <= 2
     check_pieces(seen["packing"][1], Counter(zip(after.doc_id, after.text)))
+
+
+def test_windows_of_a_block_do_not_cross_documents():
+    """All documents of a block at once give what each gives alone."""
+    rng = random.Random(8)
+    shared = [b"w%d" % i for i in range(50)]
+    texts = [[], [b"x"], shared, [rng.choice(shared) for _ in range(90)], shared[:34], shared[34:], [b"y"] * 3 + shared]
+    block = substring_dedup.Passages.of(texts)
+    alone = [substring_dedup.Passages.of([t]) for t in texts]
+    begins = np.cumsum(block.sizes) - block.sizes
+    at, keys = substring_dedup.anchors(block)
+    found = [substring_dedup.anchors(p) for p in alone]
+    assert at.tolist() == [x + b for (a, _), b in zip(found, begins) for x in a.tolist()]
+    assert keys.tolist() == [x for _, k in found for x in k.tolist()]
+    counted, times = np.unique(keys, return_counts=True)
+    starts = substring_dedup.candidate_windows(block, counted[times > 1], 35)
+    assert starts.tolist() == [
+        x + b for p, b in zip(alone, begins) for x in substring_dedup.candidate_windows(p, counted[times > 1], 35).tolist()
+    ]
+    windows, times = np.unique(common.power_window_hashes(block.hashes, 35)[starts], return_counts=True)
+    gone = substring_dedup.covered_words(block, windows[times > 1], 35)
+    assert [gone[b : b + n].sum() for b, n in zip(begins, block.sizes)] == [0, 0, 50, 0, 0, 0, 50]
