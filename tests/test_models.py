@@ -1,5 +1,6 @@
 import os
 import time
+import uuid
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from cohortpref.operators.scoring import load_model, normalize_by_request, score
 from cohortpref.plans.bookings import bookings
 from cohortpref.plans.stages import run, sweep_run
 from cohortpref.plans.sweep import kmeans_sweep, write_sweep
-from cohortpref.config import ColumnRoles, RunSettings
+from cohortpref.config import STAGES, ColumnRoles, RunSettings
 from cohortpref.session import snapshot, work_path
 from cohortpref.streaming.requests import StreamOutputs, gather_requests, read_request_stream, score_stream, start_stream
 
@@ -325,3 +326,21 @@ def test_json_records_are_written_compressed(spark, sf_dir, tmp_path, monkeypatc
     monkeypatch.setattr(catalog, "work_path", lambda spark, name: str(tmp_path / name))
     rows = catalog.QUERIES["json_records"](spark, sf_dir).count()
     assert 0 < sum(f.stat().st_size for f in (tmp_path / "json").iterdir()) < 150 * rows
+
+
+def test_rows_that_no_snapshot_keeps_give_way_to_the_next(spark, sf_dir, tmp_path, monkeypatch):
+    """A run for its model alone leaves one table of train and one of test rows, and the model of a run that keeps all."""
+    monkeypatch.setattr(stages, "work_path", lambda spark, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    rows = snapshot(bookings(spark, sf_dir).select("BOOKING_ID", *ROLES.columns), "rows")
+    found = []
+    for name, kept in ("some", ["DICT"]), ("all", STAGES):
+        settings = RunSettings(str(tmp_path / name / "b"), pca_perc=100, k=4, split_key=("BOOKING_ID",))
+        state = run(spark, settings, stop="DICT", snapshots=kept, bookings=rows)
+        found.append((state.info["wssse_train"], state.train.count(), state.test.count(), ranked(state.preferences)))
+    assert found[0] == found[1]
+    counts = [spark.read.parquet(str(p)).count() for p in tmp_path.iterdir() if p.name.startswith(("clean-", "stage-"))]
+    assert sorted(n for n in counts if n) == sorted(found[0][1:3])
+
+
+def ranked(prefs):
+    return sorted(map(str, prefs.ranking.select("cluster", "ycol", "val", "occur", "pos").collect()))
