@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortpref.operators.joins import ROW_BYTES, TableSize, lookup_join
 from cohortpref.operators.scoring import RESPONSE_STATUS, RESPONSE_VERSION
 from cohortpref.session import snapshot
+from cohortpref.sources.writers import TABLE_CODEC
 
 # Rows of a request beyond this number go into several numbered parts, so that no task gathers an unbounded request.
 PART_ROWS = 10_000
@@ -54,7 +55,7 @@ def request_responses(
     rows = kinds["accuracies"]
     for name in ("rejected", "incomplete"):
         rows = rows.unionByName(kinds[name], allowMissingColumns=True)
-    rows = snapshot(rows, "responses")
+    rows = snapshot(rows, "responses", TABLE_CODEC)
     totals = snapshot(
         rows.groupBy(F.col("__request").alias("__id")).agg(
             F.count(F.lit(1)).alias("__n"), F.count("accuracies").alias("n_valid"), F.count("rejected").alias("n_rejected"),

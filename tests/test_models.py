@@ -19,7 +19,7 @@ from cohortpref.plans.stages import run, sweep_run
 from cohortpref.plans.sweep import kmeans_sweep, write_sweep
 from cohortpref.config import STAGES, ColumnRoles, RunSettings
 from cohortpref.session import snapshot, work_path
-from cohortpref.streaming.requests import StreamOutputs, gather_requests, read_request_stream, score_stream, start_stream
+from cohortpref.streaming.requests import STATE_CODEC, StreamOutputs, gather_requests, read_request_stream, score_stream, start_stream
 
 ROLES = ColumnRoles()
 NORMALIZED = ["mean_acc_norm", "ACC_NORM_Y_STER", "ACC_NORM_Y_UE"]
@@ -344,3 +344,12 @@ def test_rows_that_no_snapshot_keeps_give_way_to_the_next(spark, sf_dir, tmp_pat
 
 def ranked(prefs):
     return sorted(map(str, prefs.ranking.select("cluster", "ycol", "val", "occur", "pos").collect()))
+
+
+def test_arriving_requests_are_written_compressed(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "work_path", lambda spark, name: str(tmp_path / name))
+    codec = spark.conf.get(STATE_CODEC)
+    rows = catalog.QUERIES["score_requests_stream"](spark, sf_dir).count()
+    files = [f for f in (tmp_path / "stream" / "in").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 and 0 < sum(f.stat().st_size for f in files) < 150 * rows
+    assert spark.conf.get(STATE_CODEC) == codec
