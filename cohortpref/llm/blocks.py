@@ -89,11 +89,12 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]]).astype(np.int64)
 
 
-def asked(block: int, keys: np.ndarray, counts: np.ndarray, parts: int, shift: int = 0) -> pa.Table:
+def asked(block: int, keys: np.ndarray, counts: np.ndarray, parts: int, shift: int = 0, every: bool = False) -> pa.Table:
     """Rows of ASK for ascending distinct keys and what the block has of each. `shift` is added to the numbers of the
-    parts, so that the answers to a later question come after those to an earlier one."""
+    parts, so that the answers to a later question come after those to an earlier one. With `every`, parts of which the
+    block has no key are asked too."""
     at = _parts(keys, parts)
-    full = np.flatnonzero(np.diff(at))
+    full = np.arange(parts) if every else np.flatnonzero(np.diff(at))
     return pa.table({
         "__block": pa.array([block] * len(full), pa.int32()),
         "__part": pa.array(full + shift, pa.int32()),
@@ -116,9 +117,13 @@ def ask(blocks: Blocks, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]
     return blocks.rows.groupBy("__block").applyInArrow(run, ASK)
 
 
-def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bytes], parts: int) -> DataFrame:
+def answer(
+    asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bytes], parts: int,
+    heading: Callable[[int, np.ndarray, np.ndarray], bytes] | None = None,
+) -> DataFrame:
     """`respond(keys, own counts, total counts, numbers of blocks that have the key)` gives the answer for one block's keys
-    of one part. The parts are dealt into as many partitions, so that a task's share does not grow with the data."""
+    of one part; `heading(part, distinct keys, their totals)` what all answers of a part begin with. The parts are dealt into
+    as many partitions, so that a task's share does not grow with the data."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [keys_from_bytes(b) for b in pdf["keys"]]
@@ -128,7 +133,8 @@ def answer(asks: DataFrame, respond: Callable[[np.ndarray, np.ndarray, np.ndarra
         holders = np.bincount(inverse, minlength=len(distinct))
         ends = np.cumsum([len(k) for k in keys])
         places = [inverse[e - len(k) : e] for k, e in zip(keys, ends)]
-        found = [respond(k, c, totals[at], holders[at]) for k, c, at in zip(keys, counts, places)]
+        head = heading(int(pdf["__part"].iloc[0]), distinct, totals) if heading else b""
+        found = [head + respond(k, c, totals[at], holders[at]) for k, c, at in zip(keys, counts, places)]
         return pd.DataFrame({"__block": pdf["__block"], "__part": pdf["__part"], "answer": found})
 
     return asks.repartition(parts, "__part").groupBy("__part").applyInPandas(run, ANSWER)

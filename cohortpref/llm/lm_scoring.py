@@ -14,7 +14,8 @@ Texts are read in lanes, one step of all lanes at a time; a long text is cut int
 state that its place has in the table.
 
 A worker does not hold the automaton of the corpus: a block asks for the counts of its own distinct n-grams (`blocks`) and
-builds the states and arcs that its texts can reach. It first asks about words and pairs. A longer n-gram can occur in
+builds the states and arcs that its texts can reach. It first asks about words and pairs; the answers about the words bring
+the totals of the corpus (N, V, n1, n2), part by part. A longer n-gram can occur in
 another block only if all its pairs do, so only those are asked about then; of the others the block has the whole count
 itself. So the model grows with the corpus, no worker holds more than
 one block, and a hot n-gram is one entry per block.
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +38,14 @@ from pyspark.sql import functions as F
 from cohortpref.llm.blocks import (
     ASK,
     answer,
-    ask,
     asked,
     block_number,
     counts_elsewhere,
     deal,
-    keys_from_bytes,
-    keys_to_bytes,
     meet,
-    numbers_from_bytes,
-    numbers_to_bytes,
     read_elsewhere,
 )
-from cohortpref.llm.common import Aside, WordHashes, mix, pieces, text_bytes, words_of
+from cohortpref.llm.common import Aside, WordHashes, mix, words_of
 
 ORDER = 3
 K = 50.0
@@ -58,8 +53,8 @@ BASE = 0.1
 # Stand for the end and the start of a text; no word hashes are made equal to them but by chance of 2**-64.
 END = np.uint64(0xE4D0000000000001)
 START = np.uint64(0x57A7000000000003)
-FLUSH_TOKENS = 4_000_000
-PART_BYTES = 24 << 20
+WORD_SHARE = 8  # the words go to this share of the parts, as a block has fewer of them than pairs
+HEADING = 32
 LANE = 1024  # words of a text that one lane reads
 
 _hashes = WordHashes()
@@ -83,50 +78,27 @@ def _tokens(texts: Iterator[str | None]) -> list[np.ndarray]:
     return [np.concatenate([edge[0], _hashes.of(words_of(t, lower=True)), edge[1]]) for t in texts]
 
 
-def corpus_totals(docs: DataFrame, training: Column) -> CorpusTotals:
-    """Exact token, word and text counts of the training rows; words are summed before they are shuffled."""
-    total = text_bytes(docs)
-    parts = pieces(total, PART_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
-    shift = np.uint64(40)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def emit() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            order = np.argsort((keys >> shift) % np.uint64(parts), kind="stable")  # ascending inside a part
-            part = ((keys >> shift) % np.uint64(parts))[order]
-            edges = np.flatnonzero(np.diff(part, prepend=part[0] + 1 if len(part) else 0))
-            ends = np.append(edges[1:], len(part))
-            rows = [(int(part[a]), keys_to_bytes(keys[order[a:b]]), numbers_to_bytes(counts[order[a:b]])) for a, b in zip(edges, ends)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"]
-            )
-
-        for batch in batches:
-            for tokens in _tokens(v.as_py() for v in batch.column("text")):
-                held.append(tokens[1:])
-                size += len(tokens) - 1
-                if size >= FLUSH_TOKENS:
-                    yield emit()
-                    held, size = [], 0
-        if held:
-            yield emit()
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([keys_from_bytes(b) for b in pdf["keys"]])
-        counts = np.concatenate([numbers_from_bytes(b) for b in pdf["counts"]])
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        sums = np.bincount(inverse, weights=counts, minlength=len(distinct))
-        return pd.DataFrame({
-            "n": [int(sums.sum())], "v": [len(distinct)], "n1": [int((sums == 1).sum())], "n2": [int((sums == 2).sum())],
-        })
-
-    rows = docs.where(training).select("text").mapInArrow(count, "part int, keys binary, counts binary")
-    sums = rows.groupBy("part").applyInPandas(add, "n long, v long, n1 long, n2 long")
-    row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
-    return CorpusTotals(*row)
+def totals_heading(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """What a part of the words adds to the totals of the corpus. Words of held-out texts alone have no count, and the start
+    of a text is no token."""
+    counts = counts[keys != START]
+    return np.array([counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()], "<i8").tobytes()
+
+
+def read_totals(answers: list[bytes], word_parts: int) -> tuple[CorpusTotals, list[bytes]]:
+    """The totals of the corpus, and the answers without them."""
+    heads = [np.frombuffer(a, "<i8", 4) for a in answers[:word_parts]]
+    return CorpusTotals(*np.sum(heads, axis=0).tolist()), [a[HEADING:] for a in answers[:word_parts]] + answers[word_parts:]
+
+
+def counted(keys: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct keys, and how often each is among the learnt ones."""
+    ordered = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    distinct, counts = ordered[first], np.diff(first, append=len(ordered))
+    held, n = np.unique(keys[~learnt], return_counts=True)
+    counts[np.searchsorted(distinct, held)] -= n
+    return distinct, counts
 
 
 @dataclass(frozen=True)
@@ -142,16 +114,20 @@ class Grams:
     at: list[np.ndarray]
 
 
+def extended(grams: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that end at every place and are one word longer than `grams`, the ones that end there."""
+    return mix(np.concatenate([np.zeros(1, np.uint64), grams[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + mix(flat + np.uint64(0x632BE59BD9B4E019)))
+
+
 def grams_of(tokens: list[np.ndarray], order: int) -> Grams:
     sizes = np.array([len(t) for t in tokens], np.int64)
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(tokens)
     depth = np.arange(len(flat)) - np.repeat(starts, sizes)  # words before a place in its text
-    last = mix(flat + np.uint64(0x632BE59BD9B4E019))
     keys, places = [flat], [np.arange(len(flat))]
     whole = flat
     for j in range(2, order + 1):
-        whole = mix(np.concatenate([np.zeros(1, np.uint64), whole[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + last)
+        whole = extended(whole, flat)
         places.append(np.flatnonzero(depth >= j - 1))
         keys.append(whole[places[-1]])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -176,11 +152,16 @@ def root_probability(count: np.ndarray, totals: CorpusTotals) -> np.ndarray:
     return np.where(count > 0, count - d, d * totals.words) / totals.tokens
 
 
+def asked_first(grams: Grams) -> np.ndarray:
+    """The words, then the pairs, in the order of the answers about them."""
+    return np.concatenate([np.flatnonzero(grams.length == j) for j in (1, 2)])
+
+
 def open_grams(grams: Grams, elsewhere: np.ndarray) -> np.ndarray:
     """The n-grams of three words and more that may occur in other blocks: those whose pairs all do. `elsewhere` is
-    about the n-grams of one and two words."""
+    about those that `asked_first` names."""
     found = np.zeros(len(grams.distinct), bool)
-    found[grams.length <= 2] = elsewhere
+    found[asked_first(grams)] = elsewhere
     if len(grams.at) < 4:
         return np.empty(0, np.int64)
     here = found[grams.at[2]] & (grams.at[2] >= 0)
@@ -252,13 +233,13 @@ def traverse(grams: Grams, table: Automaton, lane: int = LANE) -> np.ndarray:
 
 def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, k: float = K) -> DataFrame:
     """`keep`, n_tokens, n_known, train_tokens, base_score, score of every row; rows where `training` holds are learnt from."""
-    totals = corpus_totals(docs, training)
     results = (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
     learns = next(n for n in (f"learns{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     aside = Aside(docs.withColumn(learns, F.coalesce(training, F.lit(False))), ("doc_id", "text", learns), keep, tuple(name for name, _ in results))
     keep = aside.keep
     blocks = deal(aside.rows, tuple(dict.fromkeys([*keep, learns, "text"])))
     parts = blocks.count
+    word_parts = -(-parts // WORD_SHARE)
 
     def learnt(table: pa.Table, order: int = order) -> tuple[Grams, np.ndarray]:
         """The n-grams of a block, and how often its training texts have them."""
@@ -270,14 +251,25 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
             counts += np.bincount(ids[real], weights=weight[real], minlength=len(counts))
         return grams, counts.astype(np.int64)
 
-    def short_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        grams, own = learnt(table, min(order, 2))
-        return grams.distinct, own
+    def short_keys(table: pa.Table) -> pa.Table:
+        tokens = _tokens(v.as_py() for v in table.column("text"))
+        flat = np.concatenate(tokens)
+        known = np.repeat(table.column(learns).to_numpy().astype(bool), [len(t) for t in tokens])
+        words = asked(block_number(table), *counted(flat, known), word_parts, every=True)
+        if order < 2:
+            return words
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum([0, *map(len, tokens[:-1])])] = False  # no pair ends at the start of a text
+        pairs = counted(extended(flat, flat)[inside], known[inside])
+        return pa.concat_tables([words, asked(block_number(table), *pairs, parts, shift=word_parts)])
+
+    def heading(part: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
+        return totals_heading(keys, counts) if part < word_parts else b""
 
     def long_keys(table: pa.Table, answers: list[bytes]) -> pa.Table:
         grams, own = learnt(table)
-        some = open_grams(grams, read_elsewhere(answers)[1])
-        return asked(block_number(table), grams.distinct[some], own[some], parts, shift=parts)
+        some = open_grams(grams, read_elsewhere(read_totals(answers, word_parts)[1])[1])
+        return asked(block_number(table), grams.distinct[some], own[some], parts, shift=word_parts + parts)
 
     schema = aside.rows.select(*keep).schema
     for name, kind in results:
@@ -285,9 +277,9 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
         grams, counts = learnt(table)
+        totals, answers = read_totals(answers, word_parts)
         others, elsewhere = read_elsewhere(answers)
-        # The answers about words and pairs come first.
-        short = np.flatnonzero(grams.length <= 2)
+        short = asked_first(grams)
         asked_for = np.concatenate([short, open_grams(grams, elsewhere[: len(short)])])
         assert len(others) == len(asked_for)
         counts[asked_for] += others
@@ -304,7 +296,7 @@ def score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
             out = out.append_column(name, pa.array(column, pa.int64() if kind == "long" else pa.float64()))
         return out
 
-    answers = answer(ask(blocks, short_keys), counts_elsewhere, parts)
+    answers = answer(blocks.rows.groupBy("__block").applyInArrow(short_keys, ASK), counts_elsewhere, parts, heading)
     if order > 2:
         longer = meet(blocks, answers, long_keys, ASK)
         answers = answers.unionByName(answer(longer, counts_elsewhere, parts))

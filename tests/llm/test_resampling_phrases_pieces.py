@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortpref.llm import blocks, byte_views, collocations, importance, piece_encoding
+from cohortpref.llm import blocks, byte_views, collocations, importance, lm_scoring, piece_encoding
 from cohortpref.llm.queries import QUERIES, tokenizer_path
 
 LONG = " ".join(f"word{i % 700}" for i in range(6000))
@@ -274,3 +274,21 @@ def test_other_vocabularies_are_refused(tmp_path):
     path.write_bytes(open(MODEL, "rb").read() + b"\x1a\x02\x20\x01")
     with pytest.raises(ValueError, match="merge-type"):
         piece_encoding.PieceVocabulary(str(path))
+
+
+def test_totals_of_the_words_come_with_their_answers():
+    """Several blocks, several parts: the headings add up to the totals, and the rest of every answer is as without them."""
+    rng = np.random.default_rng(5)
+    held = rng.random(400) < 0.3
+    flat = np.append(rng.integers(1, 1 << 60, 60).astype(np.uint64)[rng.integers(0, 60, 396)], [lm_scoring.START] * 4)
+    distinct, counts = lm_scoring.counted(flat, ~held)
+    want = Counter(flat[~held].tolist())
+    assert dict(zip(distinct.tolist(), counts.tolist())) == {w: want[w] for w in set(flat.tolist())}
+    assert [len(x) for x in lm_scoring.counted(flat[:0], held[:0])] == [0, 0]
+    heads = [lm_scoring.totals_heading(distinct[i::3], counts[i::3]) for i in range(3)] + [lm_scoring.totals_heading(distinct[:0], counts[:0])]
+    totals, rest = lm_scoring.read_totals([h + b"ab" for h in heads] + [b"cd"], 4)
+    words = [n for w, n in want.items() if w != int(lm_scoring.START)]
+    assert totals == lm_scoring.CorpusTotals(sum(words), len(words), words.count(1), words.count(2))
+    assert rest == [b"ab"] * 4 + [b"cd"]
+    empty = np.empty(0, np.uint64)
+    assert blocks.asked(1, empty, empty, 3, every=True).num_rows == 3 and blocks.asked(1, empty, empty, 3).num_rows == 0
