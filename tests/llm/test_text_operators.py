@@ -94,6 +94,36 @@ def test_fingerprints_err_little(spark):
     assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.05, np.sqrt(np.mean(np.square(off)))
 
 
+def test_fingerprints_do_not_depend_on_the_bound(spark, monkeypatch):
+    rng = random.Random(9)
+    often = lambda n: " ".join(f"v{int(rng.paretovariate(0.7)) % 300}" for _ in range(n))
+    texts = [often(n) for n in (1, 2, 5, 30, 300, 300, 4000)] + ["the " * 5000, "a b " * 700 + "c", None, "", " \n", often(60)]
+    rows = [*enumerate(texts), (3, often(50)), (3, often(50)), (None, often(40)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for far in (float("inf"), fingerprints.FAR, 5.0, 0.5):
+        monkeypatch.setattr(fingerprints, "FAR", far)
+        found[far] = sorted(map(repr, fingerprints.fingerprints(docs).collect()))
+    assert len(found[0.5]) == len(rows)
+    assert all(got == found[float("inf")] for got in found.values())
+
+
+def test_fingerprints_compute_few_values(spark):
+    rng = random.Random(10)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(600)) for _ in range(40)]
+    rows = spark.createDataFrame([(i, text, text) for i, text in enumerate(texts)], "row long, text string, edited string")
+    whole = fingerprints.draw(rows, ["row"], "text", "edited").collect()
+    assert sorted(fingerprints.draw(rows, ["row"], "text", "edited", fingerprints.FAR).collect()) == sorted(whole)
+    # Of 600 words the values of some 5 % are low enough to be computed; a null means that too few were.
+    terms = fingerprints._weighted_terms(rows, ["row"], "text", "edited")
+    terms = terms.select("term", F.col("weight").cast("double"), F.log("weight").alias("log_weight"), (fingerprints.FAR / F.col("least")).alias("far"))
+    values = terms.select(*[F.xxhash64("term", F.lit(j)).alias(f"h{j}") for j in range(4)], "weight", "log_weight", "far")
+    values = values.select(F.explode(F.array(*[fingerprints._sample(j) for j in range(4)])).alias("value"))
+    assert 0.01 < values.agg(F.avg((F.col("value") < float("inf")).cast("int"))).first()[0] < 0.15
+    low = fingerprints.draw(rows, ["row"], "text", "edited", 0.5).collect()
+    assert all(row.first_fingerprint is None and row.second_fingerprint is None for row in low)
+
+
 def test_quality_statistics_and_list(spark, sf_dir, docs):
     got = result(spark, sf_dir, "op2_quality_rules")
     for doc_id, text in zip(docs.doc_id, docs.text):
